@@ -89,7 +89,7 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), extra: tuple[str, ...] = ()
     for k in range(int(-(-p.most // 1))):
         offset = at + F.col("source_size") * k
         got = F.greatest(F.lit(0), F.least(F.col("size"), whole - offset))
-        passes.append((got.cast("long"), inverse_curriculum(F.least(F.lit(1.0), offset / F.col("target")), F.col("slope"))))
+        passes.append((got.cast("long"), inverse_curriculum(F.least(F.lit(1.0), F.try_divide(offset, F.col("target"))), F.col("slope"))))
     taken = passes[0][0]
     for got, _ in passes[1:]:
         taken = taken + got

@@ -90,7 +90,7 @@ def sketch(measured: DataFrame, accuracy: float) -> DataFrame:
     """Bucket counts per (lang, source, metric): the mergeable state."""
     log_g = F.log(F.lit((1 + accuracy) / (1 - accuracy)))
     bucket = lambda x: F.when(x <= 0, F.lit(None)).otherwise(F.ceil(F.log(x) / log_g).cast("int"))
-    rows = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(a) / F.col(b)).alias("bucket")) for m, (a, b, _) in METRICS.items()))
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.try_divide(a, b)).alias("bucket")) for m, (a, b, _) in METRICS.items()))
     long = measured.where("n_words > 0").select("lang", "source", F.explode(rows).alias("r"))
     return long.groupBy("lang", "source", "r.metric", "r.bucket").count().withColumnRenamed("count", "n")
 
@@ -129,7 +129,7 @@ def quality_verdicts(docs: DataFrame, p: QualityParams = QualityParams()) -> Dat
     rows = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(p.salts)).cast("int"))
     joined = rows.join(salted, rows.lang.eqNullSafe(salted.g_lang) & rows.source.eqNullSafe(salted.g_source) & (rows.salt == salted.g_salt), "left")
     base_failed = (F.col("n_words") < p.base_min_words) | (100 * F.col("n_repeat_words") > p.base_repeat_pct * F.col("n_words"))
-    within = [F.coalesce(F.col(a) / F.col(b) <= F.col(f"hi_{m}"), F.lit(True)) for m, (a, b, _) in METRICS.items()]
+    within = [F.coalesce(F.try_divide(a, b) <= F.col(f"hi_{m}"), F.lit(True)) for m, (a, b, _) in METRICS.items()]
     ok = within[0]
     for w in within[1:]:
         ok = ok & w
