@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import mixing, packing, queries, secrets, simhash, toxicity
+from cairnflow.llm import mixing, packing, queries, secret_scan, simhash, toxicity
 from cairnflow.llm.common import shared_dir, table
 from cairnflow.session import ship
 
@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret's characters replaced by a mark."""
-    return secrets.redact_secrets(docs, queries.secret_model(spark))
+    return secret_scan.redact_secrets(docs, queries.secret_model(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
