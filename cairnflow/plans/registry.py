@@ -84,7 +84,7 @@ NEAR = "n AS (SELECT c.i, c.j, c.z, d.ord, d.code, b.i AS bi, b.j AS bj, b.z AS
 #: Lowest strictly lower neighbour, ties by ord; f: i, j, z, code, ti, tj (target or null)
 #: (bz, ord) as one exact double: elevations are integers, orders below 16
 FLOW = """f AS MATERIALIZED (SELECT c.i, c.j, c.z, COALESCE(m.code, 0) AS code, m.bi AS ti, m.bj AS tj FROM c LEFT JOIN
-    (SELECT i, j, ARG_MIN(code, bz * 16 + ord) AS code, ARG_MIN(bi, bz * 16 + ord) AS bi, ARG_MIN(bj, bz * 16 + ord) AS bj FROM n WHERE bz < z GROUP BY i, j) AS m ON c.i = m.i AND c.j = m.j)"""
+    (SELECT i, j, ARG_MIN(code, bz * 16 + ord) FILTER (WHERE bz < z) AS code, ARG_MIN(bi, bz * 16 + ord) FILTER (WHERE bz < z) AS bi, ARG_MIN(bj, bz * 16 + ord) FILTER (WHERE bz < z) AS bj FROM n GROUP BY i, j) AS m ON c.i = m.i AND c.j = m.j)"""
 BASE = f"{CELLS}, {DIRS}, {NEAR}, {FLOW}"
 #: Every cell with each cell on its way down: r: i, j, ai, aj, hops, dist
 REACH = """r AS (SELECT i, j, i AS ai, j AS aj, 0 AS hops, CAST(0 AS DOUBLE) AS dist FROM f
@@ -346,8 +346,8 @@ def fill_max_size(spark, sf_dir):
     return flow.fill_small_depressions(raster(spark, sf_dir), 8).select("i", "j", F.col("z").cast("long").alias("z"))
 
 
-@query(f"""WITH {BASE}, h AS (SELECT i, j, z FROM c), b AS (SELECT i, j, MIN((bi - i) * (bi - i) + (bj - j) * (bj - j)) AS d2 FROM n WHERE bz > z GROUP BY i, j),
-    o AS (SELECT c.* FROM c LEFT JOIN b ON b.i = c.i AND b.j = c.j WHERE b.i IS NULL),
+@query(f"""WITH {BASE}, h AS (SELECT i, j, z FROM c), b AS (SELECT i, j, MIN((bi - i) * (bi - i) + (bj - j) * (bj - j)) FILTER (WHERE bz > z) AS d2 FROM n GROUP BY i, j),
+    o AS (SELECT c.* FROM c JOIN b ON b.i = c.i AND b.j = c.j WHERE b.d2 IS NULL),
     a AS (SELECT o.i, o.j, MIN((h.i - o.i) * (h.i - o.i) + (h.j - o.j) * (h.j - o.j)) AS d2 FROM o JOIN h ON h.z > o.z GROUP BY o.i, o.j),
     s AS (SELECT MAX(i) AS mi, MAX(j) AS mj FROM c), x AS (SELECT c.i, c.j, COALESCE(b.d2, a.d2) AS d2 FROM c LEFT JOIN b ON b.i = c.i AND b.j = c.j LEFT JOIN a ON a.i = c.i AND a.j = c.j)
     SELECT x.i, x.j, ROUND(COALESCE(sqrt(d2), 0.0), 6) AS iso, d2 IS NULL OR LEAST(LEAST(x.i, mi - x.i), LEAST(x.j, mj - x.j)) + 0.5 < sqrt(d2) AS censored FROM x CROSS JOIN s""")
