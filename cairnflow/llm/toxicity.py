@@ -33,6 +33,8 @@ from .common import durable, texts_of
 
 TOKENS = re.compile(r"[^\W_]+").findall
 PREFIXES = (4, 5, 6, 7, 8)
+#: Share of a voter's entropy that another tells, from which it counts as a copy.
+COPY = 0.8
 
 
 @dataclass(frozen=True)
@@ -188,9 +190,9 @@ def make_voters(hits: np.ndarray, lengths: np.ndarray, y: np.ndarray, p: Toxicit
 def label_model(votes: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarray, list[dict]]:
     """Posterior of the toxic class for each row, by EM.
 
-    First the voters count as independent given the class; then the maximum spanning tree
-    over their conditional mutual information becomes the correlation structure, and each
-    voter's table is conditioned on its parent's vote.
+    First the voters count as independent given the class, but for near copies; then the
+    maximum spanning tree over their conditional mutual information becomes the correlation
+    structure, and each voter's table is conditioned on its parent's vote.
     """
     n, m = votes.shape
     v = votes + 1  # 0 clean, 1 abstains, 2 toxic
@@ -221,21 +223,46 @@ def label_model(votes: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarra
                 score += np.log(t[1][v[:, parent[j]], v[:, j]]) - np.log(t[0][v[:, parent[j]], v[:, j]])
         return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
 
-    for r in range(2 * rounds):
-        if r == rounds and m > 1:
-            info = np.zeros((m, m))
-            for w in (1 - q, q):
-                share = w.sum() / n
-                joint = np.einsum("nia,njb,n->ijab", onehot, onehot, w) / max(w.sum(), 1e-9) + 1e-9
-                single = np.einsum("nia,n->ia", onehot, w) / max(w.sum(), 1e-9) + 1e-9
-                info += share * (joint * np.log(joint / (single[:, None, :, None] * single[None, :, None, :]))).sum((2, 3))
-            inside = {0}
-            while len(inside) < m:
-                gain, child, up = max((info[i, j], j, i) for i in inside for j in range(m) if j not in inside)
-                parent[child] = up if gain > 0.002 else -1
-                inside.add(child)
-        pi, tables = m_step()
-        q = e_step(pi, tables)
+    def dependence() -> tuple[np.ndarray, np.ndarray]:
+        info, alone = np.zeros((m, m)), np.zeros(m)
+        for w in (1 - q, q):
+            share = w.sum() / n
+            joint = np.einsum("nia,njb,n->ijab", onehot, onehot, w, optimize=True) / max(w.sum(), 1e-9) + 1e-9
+            single = np.einsum("nia,n->ia", onehot, w) / max(w.sum(), 1e-9) + 1e-9
+            info += share * (joint * np.log(joint / (single[:, None, :, None] * single[None, :, None, :]))).sum((2, 3))
+            alone -= share * (single * np.log(single)).sum(1)
+        return info, alone
+
+    def settle() -> None:
+        nonlocal q, pi, tables
+        for _ in range(rounds):
+            pi, tables = m_step()
+            q = e_step(pi, tables)
+
+    pi = 0.5
+    if m > 1:
+        # near copies are tied first, by the majority's classes: once EM has settled, a voter
+        # and its copy explain each other away and look independent
+        info, alone = dependence()
+        weight = np.ones(m)
+        for j in range(1, m):
+            up = int(info[j, :j].argmax())
+            if info[j, up] > COPY * max(alone[j], 1e-9):
+                parent[j], weight[j] = up, 0.0
+        signal = votes @ weight
+        q = 1 / (1 + np.exp(-(signal - 0.5)))
+    settle()
+    if m > 1:
+        info, _ = dependence()
+        for j in range(m):
+            if parent[j] >= 0:
+                info[j, parent[j]] = info[parent[j], j] = np.inf
+        inside = {0}
+        while len(inside) < m:
+            gain, child, up = max((info[i, j], j, i) for i in inside for j in range(m) if j not in inside)
+            parent[child] = up if gain > 0.002 else -1
+            inside.add(child)
+    settle()
     if q[signal > 0].sum() < (1 - q)[signal > 0].sum() and (signal > 0).any():
         q = 1 - q  # the votes say which class is which
     flat = [t if t.ndim == 2 else None for t in tables]
