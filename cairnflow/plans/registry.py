@@ -495,18 +495,18 @@ def rdp_topology_safe(spark, sf_dir):
 
 
 def _orient(a: str, b: str, c: str) -> str:
-    return f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+    return f"(({b}1 - {a}1) * ({c}2 - {a}2) - ({b}2 - {a}2) * ({c}1 - {a}1))"
 
 
 def _on(a: str, b: str, p: str) -> str:
-    return f"({_orient(a, b, p)} = 0 AND {p}x BETWEEN LEAST({a}x, {b}x) AND GREATEST({a}x, {b}x) AND {p}y BETWEEN LEAST({a}y, {b}y) AND GREATEST({a}y, {b}y))"
+    return f"({_orient(a, b, p)} = 0 AND {p}1 BETWEEN LEAST({a}1, {b}1) AND GREATEST({a}1, {b}1) AND {p}2 BETWEEN LEAST({a}2, {b}2) AND GREATEST({a}2, {b}2))"
 
 
 def _same(a: str, b: str) -> str:
-    return f"({a}x = {b}x AND {a}y = {b}y)"
+    return f"({a}1 = {b}1 AND {a}2 = {b}2)"
 
 
-_BOX = "(LEAST(ax, bx) <= GREATEST(cx, dx) AND LEAST(cx, dx) <= GREATEST(ax, bx) AND LEAST(ay, by) <= GREATEST(cy, dy) AND LEAST(cy, dy) <= GREATEST(ay, by))"
+_BOX = "(LEAST(a1, b1) <= GREATEST(c1, d1) AND LEAST(c1, d1) <= GREATEST(a1, b1) AND LEAST(a2, b2) <= GREATEST(c2, d2) AND LEAST(c2, d2) <= GREATEST(a2, b2))"
 _CROSS = f"(SIGN({_orient('a', 'b', 'c')}) * SIGN({_orient('a', 'b', 'd')}) < 0 AND SIGN({_orient('c', 'd', 'a')}) * SIGN({_orient('c', 'd', 'b')}) < 0)"
 _ENDS = f"({_same('a', 'c')} OR {_same('a', 'd')} OR {_same('b', 'c')} OR {_same('b', 'd')})"
 _IN = lambda p, q, r: f"({_on(p, q, r)} AND NOT {_same(r, p)} AND NOT {_same(r, q)})"
@@ -516,14 +516,14 @@ _FLAG = f"""CASE WHEN {_same('a', 'b')} OR {_same('c', 'd')} THEN 5 WHEN NOT {_B
 
 
 @query(f"""WITH {_VERTS}, s AS (SELECT graph_id, arc_id, seq, i AS px, j AS py, LEAD(i) OVER w AS qx, LEAD(j) OVER w AS qy FROM v WINDOW w AS (PARTITION BY arc_id ORDER BY seq)),
-    t AS (SELECT * FROM s WHERE qx IS NOT NULL), m AS (SELECT a.graph_id AS graph_i, b.graph_id AS graph_j, a.arc_id AS iarc, b.arc_id AS jarc, a.seq AS iseg, b.seq AS jseg, a.px AS ax, a.py AS ay, a.qx AS bx, a.qy AS by, b.px AS cx, b.py AS cy, b.qx AS dx, b.qy AS dy
+    t AS (SELECT * FROM s WHERE qx IS NOT NULL), m AS (SELECT a.graph_id AS graph_i, b.graph_id AS graph_j, a.arc_id AS iarc, b.arc_id AS jarc, a.seq AS iseg, b.seq AS jseg, a.px AS a1, a.py AS a2, a.qx AS b1, a.qy AS b2, b.px AS c1, b.py AS c2, b.qx AS d1, b.qy AS d2
     FROM t AS a JOIN t AS b ON (a.graph_id, a.arc_id, a.seq) < (b.graph_id, b.arc_id, b.seq) AND a.px <= b.qx AND b.px <= a.qx)
     SELECT graph_i, graph_j, iarc, jarc, CAST(iseg AS INTEGER) AS iseg, CAST(jseg AS INTEGER) AS jseg, CAST({_FLAG} AS INTEGER) AS flag FROM m WHERE {_FLAG} > 0""")
 def graph_topology_violations(spark, sf_dir):
     return network.topology_violations(customer_arcs(spark, sf_dir))
 
 
-_POINTS = """p AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 AS ax, l_suppkey % 7 AS ay, l_orderkey % 7 AS bx, CAST(l_linenumber AS BIGINT) AS by, CAST(l_quantity AS BIGINT) % 7 AS cx, l_partkey % 5 AS cy, l_suppkey % 5 AS dx, l_orderkey % 5 AS dy FROM lineitem)"""
+_POINTS = """p AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 AS a1, l_suppkey % 7 AS a2, l_orderkey % 7 AS b1, CAST(l_linenumber AS BIGINT) AS b2, CAST(l_quantity AS BIGINT) % 7 AS c1, l_partkey % 5 AS c2, l_suppkey % 5 AS d1, l_orderkey % 5 AS d2 FROM lineitem)"""
 
 
 def line_points(spark, sf_dir) -> DataFrame:
@@ -541,15 +541,15 @@ def _geo(name: str, sql: str, column: Callable) -> None:
     query(f"WITH {_POINTS} SELECT l_orderkey, l_linenumber, {sql} AS value FROM p")(run)
 
 
-_R = lambda v: f"({v}x - dx) * ({v}x - dx) + ({v}y - dy) * ({v}y - dy)"
-_INCIRCLE = f"({_R('a')}) * ((bx - dx) * (cy - dy) - (cx - dx) * (by - dy)) + ({_R('b')}) * ((cx - dx) * (ay - dy) - (ax - dx) * (cy - dy)) + ({_R('c')}) * ((ax - dx) * (by - dy) - (bx - dx) * (ay - dy))"
+_R = lambda v: f"({v}1 - d1) * ({v}1 - d1) + ({v}2 - d2) * ({v}2 - d2)"
+_INCIRCLE = f"({_R('a')}) * ((b1 - d1) * (c2 - d2) - (c1 - d1) * (b2 - d2)) + ({_R('b')}) * ((c1 - d1) * (a2 - d2) - (a1 - d1) * (c2 - d2)) + ({_R('c')}) * ((a1 - d1) * (b2 - d2) - (b1 - d1) * (a2 - d2))"
 _geo("geo_orient", f"CAST({_orient('a', 'b', 'c')} AS BIGINT)", lambda a, b, c, d: geo.orient(a, b, c))
 _geo("geo_incircle", f"CAST({_INCIRCLE} AS DOUBLE)", geo.incircle)
 _geo("geo_on_segment", _on("a", "b", "c"), lambda a, b, c, d: geo.on_segment(a, b, c))
 _geo("geo_bbox", _BOX, geo.bboxes_overlap)
 _geo("geo_xcross", _CROSS, geo.xcross)
 _geo("geo_lines_intersect", f"CAST({_FLAG} AS INTEGER)", geo.lines_intersect)
-_geo("geo_distances", "CAST(ABS(ax - bx) + ABS(ay - by) + (ax - bx) * (ax - bx) + (ay - by) * (ay - by) AS BIGINT)", lambda a, b, c, d: geo.dist_l1(a, b) + geo.dist2(a, b))
+_geo("geo_distances", "CAST(ABS(a1 - b1) + ABS(a2 - b2) + (a1 - b1) * (a1 - b1) + (a2 - b2) * (a2 - b2) AS BIGINT)", lambda a, b, c, d: geo.dist_l1(a, b) + geo.dist2(a, b))
 
 
 def customer_points(spark, sf_dir) -> DataFrame:
@@ -586,7 +586,7 @@ _SEGS = "g AS (SELECT CAST(c_custkey % 25 AS VARCHAR) AS mesh_id, c_custkey AS c
 
 
 @query(f"""WITH {_MESH}, {_SEGS}, e AS (SELECT s.mesh_id, s.fid, s.side, s.u, s.v FROM s JOIN s AS o ON o.mesh_id = s.mesh_id AND o.u = s.v AND o.v = s.u WHERE s.fid < o.fid),
-    m AS (SELECT e.mesh_id, g.cid, e.fid, e.side, e.u, e.v, e.u // 64 AS ax, e.u % 64 AS ay, e.v // 64 AS bx, e.v % 64 AS by, g.p // 64 AS cx, g.p % 64 AS cy, g.q // 64 AS dx, g.q % 64 AS dy FROM e JOIN g ON g.mesh_id = e.mesh_id)
+    m AS (SELECT e.mesh_id, g.cid, e.fid, e.side, e.u, e.v, e.u // 64 AS a1, e.u % 64 AS a2, e.v // 64 AS b1, e.v % 64 AS b2, g.p // 64 AS c1, g.p % 64 AS c2, g.q // 64 AS d1, g.q % 64 AS d2 FROM e JOIN g ON g.mesh_id = e.mesh_id)
     SELECT mesh_id, cid, CAST(fid AS INTEGER) AS fid, CAST(side AS INTEGER) AS side, CAST(LEAST(u, v) AS INTEGER) AS u, CAST(GREATEST(u, v) AS INTEGER) AS v FROM m WHERE {_CROSS}""")
 def crossing_edges(spark, sf_dir):
     verts, faces = grid_mesh(spark, sf_dir)
