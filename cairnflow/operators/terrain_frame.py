@@ -64,7 +64,9 @@ class Terrain:
     def ocean_mask(self) -> DataFrame:
         return components.ocean_basins(self.cells).withColumn("ocean", F.col("label") > 0)
 
-    sea_mask = ocean_mask
+    @property
+    def sea_mask(self) -> DataFrame:
+        return self.ocean_mask
 
     @cached_property
     def flowdir(self) -> DataFrame:
@@ -86,7 +88,9 @@ class Terrain:
     def dist2source(self) -> DataFrame:
         return metrics.dist2source(self.flowdir)
 
-    flow_distance = dist2source
+    @property
+    def flow_distance(self) -> DataFrame:
+        return self.dist2source
 
     @cached_property
     def watersheds(self) -> DataFrame:
@@ -96,13 +100,17 @@ class Terrain:
     def dist2sink(self) -> DataFrame:
         return metrics.dist2sink(self.flowdir)
 
-    backdist = dist2sink
+    @property
+    def backdist(self) -> DataFrame:
+        return self.dist2sink
 
     @cached_property
     def bmax(self) -> DataFrame:
         return ridges.dist2conf_max(self.flowdir)
 
-    ridge_dist = bmax
+    @property
+    def ridge_dist(self) -> DataFrame:
+        return self.bmax
 
     @cached_property
     def ridgedir(self) -> DataFrame:

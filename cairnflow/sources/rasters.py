@@ -117,7 +117,7 @@ class RasterReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if name not in self.low or not isinstance(f.value, int):
+            if name not in self.low or not isinstance(getattr(f, "value", None), int):
                 yield f
                 continue
             if isinstance(f, (GreaterThanOrEqual, GreaterThan, EqualTo)):

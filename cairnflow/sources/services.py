@@ -48,12 +48,13 @@ def check_limits(latlim: tuple[float, float], lonlim: tuple[float, float]) -> tu
 
 
 def _number(x: float) -> str:
-    text = f"{x:g}".replace("-", "m").replace(".", "p")
-    return text[1:] if text.startswith("0p") else text
+    return f"{x:g}".replace("-", "m").replace(".", "p")
 
 
 def cache_path(service: str, latlim, lonlim, label: str, extension: str, data: DataDir | None = None) -> str:
-    """A file name that says the request: minus as m, point as p."""
+    """A file name that says the request: minus as m, point as p; a label below 1 begins with the p."""
+    label = label.replace(".", "p")
+    label = label[1:] if label.startswith("0p") else label
     name = "_".join([service, label, *(_number(x) for x in (*latlim, *lonlim))])
     return os.path.join((data or DataDir()).of(service), name + extension)
 

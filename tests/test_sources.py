@@ -59,7 +59,8 @@ def test_service_requests(tmp_path):
     with pytest.raises(ValueError):
         services.opentopo_request((24, 25), (121, 122), "k", "MOON")
     name = services.cache_path("gmrt", (-0.5, 1), (0.25, 2), "high", ".tif", services.DataDir(str(tmp_path)))
-    assert name.endswith("gmrt_high_m0p5_1_25_2.tif")
+    assert name.endswith("gmrt_high_m0p5_1_0p25_2.tif")
+    assert services.cache_path("gmrt", (0, 1), (0, 1), "0.25", ".tif").endswith("gmrt_p25_0_1_0_1.tif")
     (tmp_path / "x").write_text("here")
     assert services.fetch("http://nowhere.invalid/", str(tmp_path / "x")) == str(tmp_path / "x")
 
