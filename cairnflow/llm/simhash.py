@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, p: SimHashParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint((x.as_buffer() or b"").to_pybytes() if x.is_valid else b"", p.shingle, p.seed) for x in b.column("text")]
+            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid and x.as_buffer() is not None else b"", p.shingle, p.seed) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"{key}, fp long")
