@@ -15,9 +15,12 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import array
+import json
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +42,7 @@ class PackParams:
     tokenizer: str = "word_bpe_49k.json"
     capacity: int = 4096
     end_id: int = 1
-    cache_chunks: int = 400_000
+    cache_chunks: int = 600_000
 
 
 def tokenizer_file(name: str) -> str:
@@ -50,43 +53,78 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LATIN = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+LOWER = r"a-z\u00df-\u00f6\u00f8-\u017f"
+#: Texts of these characters alone are composed already, and lower-case within their set.
+PLAIN = re.compile(rf"[\t-\r\x20-\x7e{LATIN}]*").fullmatch
+#: The tokenizer's own pre-token pattern, its letter and number classes written out for that set.
+PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[0-9]|[^\t-\r\x200-9{LOWER}]+").findall
+
+
+def byte_symbols() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class ChunkEncoder:
-    """Token ids of whole texts, white-space chunk by chunk from a cache.
+    """Token ids of whole texts from a cache of their parts.
 
-    The tokenizer never joins characters across ASCII white space, so a text's ids are those
-    of its chunks in turn. Each new chunk goes through the tokenizer itself. A text that
-    holds a special token's string is encoded as a whole.
+    The tokenizer never joins characters across pre-tokens. A text of plain characters is
+    lower-cased and split by the tokenizer's pattern, and each new pre-token goes to its BPE
+    model; of other texts each new white-space chunk goes through the whole tokenizer, and a
+    text that holds a special token's string is encoded as it is. A tokenizer of another
+    make than lower-casing byte-level BPE takes the chunk way alone.
     """
 
     def __init__(self, p: PackParams):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(tokenizer_file(p.tokenizer))
+        path = tokenizer_file(p.tokenizer)
+        assert array.array("I").itemsize == 4 and sys.byteorder == "little"
+        self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.limit = p.cache_chunks
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        kinds = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        split = [n for n in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if n.get("type") == "Split"]
+        known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.plain = made["model"]["type"] == "BPE" and kinds == ["NFC", "Replace", "Lowercase"] and [n["pattern"].get("Regex") for n in split] == [known]
+        self.symbols = byte_symbols()
+
+    def _model(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.symbols)
+        return array.array("I", [t.id for t in self.tok.model.tokenize(part)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self._raw(text)
-        chunks = CHUNKS(text)
-        cache = self.cache
+            return self._whole(text)
+        if self.plain and PLAIN(text):
+            return self._joined(PRE_TOKENS(text.lower()), self.parts, self._model)
+        return self._joined(CHUNKS(text), self.chunks, self._whole)
+
+    def _joined(self, keys: list[str], cache: dict[str, bytes], encode: Callable[[str], bytes]) -> bytes:
         try:
-            return b"".join([cache[c] for c in chunks])
+            return b"".join([cache[k] for k in keys])
         except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if len(cache) + len(new) > self.limit:  # bounded memory: start over
-            cache.clear()
-            new = list(dict.fromkeys(chunks))
-        for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([cache[c] for c in chunks])
-        if len(cache) > self.limit:
-            cache.clear()
-        return out
+            pass
+        out = []
+        for k in keys:
+            ids = cache.get(k)
+            if ids is None:
+                if len(cache) >= self.limit:  # bounded memory: start over
+                    cache.clear()
+                ids = cache[k] = encode(k)
+            out.append(ids)
+        return b"".join(out)
 
 
 _encoders: dict[PackParams, ChunkEncoder] = {}
