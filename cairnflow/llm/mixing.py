@@ -63,7 +63,7 @@ def source_targets(sized: DataFrame, p: MixParams) -> DataFrame:
 def inverse_curriculum(share: Column, slope: Column) -> Column:
     """The time t at which t + slope * (t*t - t) reaches ``share``."""
     root = F.sqrt(F.pow(1 - slope, 2) + 4 * slope * share)
-    return F.when(F.abs(slope) < 1e-9, share).otherwise(2 * share / (1 - slope + root))
+    return F.when(F.abs(slope) < 1e-9, share).otherwise(F.coalesce(F.try_divide(2 * share, 1 - slope + root), F.lit(0.0)))
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams(), extra: tuple[str, ...] = ()) -> DataFrame:

@@ -83,7 +83,7 @@ def _suffix(host: Column) -> Column:
 
 def _first(host: Column, path: Column) -> Column:
     """Host suffix of two labels with the path's first segment."""
-    return F.concat_ws("/", F.substring_index(host, ".", -2), F.element_at(F.split(path, "/"), 2))
+    return F.concat_ws("/", F.substring_index(host, ".", -2), F.get(F.split(path, "/"), 1))
 
 
 def lexical_features(pages: DataFrame, p: UrlParams) -> DataFrame:
