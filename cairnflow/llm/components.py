@@ -1,38 +1,8 @@
-"""Connected components of a table of links by alternating large-star and small-star steps.
+"""Connected components of a table of links (u, v): see ``plans.iterate``.
 
-Each step is a grouped minimum and a join, with no driver state; a checkpoint cuts the
-lineage after every round. (Kiveris et al. 2014.)
+Self-links and nulls are ignored; without links the result is empty.
 """
 
-from __future__ import annotations
+from ..plans.iterate import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import durable
-
-
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every end of a link (u, v); component is its smallest reachable node.
-
-    Self-links and nulls are ignored; without links the result is empty.
-    """
-    edges = durable(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if before == tuple(mark) or not mark.n:
-            break
-        before = tuple(mark)
-        # large star: every larger neighbour goes to the smallest in the neighbourhood
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour, and the node itself, goes to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = durable(small.distinct())
-    else:
-        raise RuntimeError(f"no fixed point in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]
