@@ -34,35 +34,47 @@ def packed_sequences(docs: DataFrame, p: PackParams = PackParams(), pad_id: int
     placed = pack(docs, p, with_ids=True).withColumn("doc_id", F.col("doc_id").cast("long"))
     # rows of a sequence meet in one partition, in order; a sequence holds at most ``capacity`` pieces
     ordered = placed.select("sequence_id", "offset", "doc_id", "piece", "start", "length", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
-    size = p.capacity
+    size, steps = p.capacity, np.arange(p.capacity, dtype=np.int32)
     fields = [("sequence_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("input_ids", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())]
     out_schema = pa.schema(fields)
     schema = "sequence_id long, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, n_tokens int, input_ids array<int>, position_ids array<int>, ids_crc32 long"
 
-    def sequence(rows: list[tuple]) -> dict:
+    def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        """A list array straight from the numpy rows."""
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        flat = np.concatenate(values) if values else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+    def emit(done: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*done)) if done else [()] * len(fields)
+        # ids may be null, so they go as Python lists; they are few beside the tokens
+        arrays = [lists(list(c), t.value_type) if pa.types.is_list(t) and name != "doc_ids" else pa.array(c, t) for c, (name, t) in zip(cols, fields)]
+        return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+
+    def sequence(rows: list[tuple]) -> tuple:
         ids, positions = np.full(size, pad_id, np.int32), np.zeros(size, np.int32)
-        cuts = [0]
         for _, at, _, _, _, n, raw in rows:
             ids[at : at + n] = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
-            positions[at : at + n] = np.arange(n)
-            cuts.append(at + n)
-        return {"sequence_id": rows[0][0], "doc_ids": [r[2] for r in rows], "pieces": [r[3] for r in rows], "starts": [r[4] for r in rows], "cu_seqlens": cuts, "n_tokens": cuts[-1], "input_ids": ids, "position_ids": positions, "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
+            positions[at : at + n] = steps[:n]
+        cuts = np.array([0, *(r[1] + r[5] for r in rows)])
+        column = lambda k: np.array([r[k] for r in rows], np.int64)
+        return rows[0][0], [r[2] for r in rows], column(3), column(4), cuts, int(cuts[-1]), ids, positions, zlib.crc32(ids.astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        done: list[dict] = []
+        done: list[tuple] = []
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if rows and rows[-1][0] != row[0]:
                     done.append(sequence(rows))
                     rows = []
                     if len(done) >= 256:
-                        yield pa.RecordBatch.from_pylist(done, schema=out_schema)
+                        yield emit(done)
                         done = []
                 rows.append(row)
         if rows:
             done.append(sequence(rows))
-        yield pa.RecordBatch.from_pylist(done, schema=out_schema)
+        yield emit(done)
 
     return ordered.mapInArrow(run, schema)
 
