@@ -5,10 +5,11 @@ Spans come without a UDF: for a pattern, ``split`` gives the text between its ma
 code points.
 
 The Markov part compares two first-order character models, of random strings and of ordinary
-identifiers, fitted by counting character pairs in labelled samples. A candidate (a run of
-identifier characters that holds a digit or changes of case) is a secret if its
-log-likelihood ratio per character passes a threshold that is set on the samples. The tables
-have one entry per pair of an alphabet of fixed size, so they are literals of the plan.
+identifiers, fitted by counting character pairs in labelled samples. A candidate (any run of
+identifier characters of a least length) is a secret if its log-likelihood ratio per
+character passes a threshold that is set on the samples; drawn lines and fill characters
+count once for this. The tables have one entry per pair of an alphabet of fixed size, so they
+are literals of the plan.
 
 Cases: null and empty texts have no spans; overlapping kinds are all reported for the base
 patterns, while a Markov span that meets a base span is dropped; repeated rows get a row
@@ -30,6 +31,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: Runs are matched whole, so a least length in the pattern is the same as dropping short matches.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: Drawn lines and fill characters: four or more separators, or of one character.
+FILL = r"([+/_=-])[+/_=-]{3,}|(.)\2{3,}"
 #: Characters in model order; anything else is one more class.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 CLASSES = len(ALPHABET) + 1
@@ -49,7 +52,7 @@ heit lich schaft ment tion able ness ing ation""".split()
 
 @dataclass(frozen=True)
 class MarkovParams:
-    min_length: int = 20
+    min_length: int = 16
     samples: int = 4000
     smoothing: float = 0.5
     false_rate: float = 0.001
@@ -149,10 +152,11 @@ def find_secrets(docs: DataFrame, model: MarkovModel, p: MarkovParams = MarkovPa
     long_value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= 6
     base = F.concat(_spans(text, ASSIGN, "assign", long_value), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
     candidate = r"[A-Za-z0-9+/_=-]{%d,}" % p.min_length
-    mixed = lambda s: F.regexp_like(s["hit"], F.lit("[0-9]")) & F.regexp_like(s["hit"], F.lit("[A-Za-z]"))
-    found = docs.withColumn("base", F.array_sort(base)).withColumn("markov", _spans(text, candidate, "markov", mixed))
+    found = docs.withColumn("base", F.array_sort(base)).withColumn("markov", _spans(text, candidate, "markov"))
     outside = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    random = lambda s: model.score(s["hit"]) > model.threshold
+    bare = lambda s: F.regexp_replace(s["hit"], FILL, "$1$2")
+    # a string of the least length that holds one such run by chance keeps three quarters of it
+    random = lambda s: (F.length(bare(s)) * 4 >= p.min_length * 3) & (model.score(bare(s)) > model.threshold)
     judged = F.when(F.size("markov") == 0, F.col("markov")).otherwise(F.filter("markov", lambda s: outside(s) & random(s)))
     return found.withColumn("markov", judged)
 

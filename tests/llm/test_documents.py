@@ -159,6 +159,19 @@ def test_markov_tells_random_from_names(spark, markov):
     assert [found[k] for k in range(5)] == [1, 1, 0, 0, 0]
 
 
+def test_markov_judges_letters_and_short_strings(spark, markov):
+    rng = random.Random(11)
+    letters, lower, alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    secrets = ["".join(rng.choices(c, k=n)) for c, n in ((letters, 16), (letters, 24), (letters, 40), (lower, 24), (lower, 40), (alnum, 16), (alnum, 18)) for _ in range(40)]
+    plain = ["Geschwindigkeitsbegrenzung", "internationalization", "desafortunadamente", "MAX_CONNECTION_TIMEOUT", "accountControllerFactory", "-" * 40, "=" * 16, "+------+------+--------+", "x" * 50, "_" * 30 + "Qx", "1234567890123456"]
+    d = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(secrets + plain)], "doc_id long, text string")
+    found = {r.doc_id: r.n_markov for r in secret_scan.secret_report(d, markov).collect()}
+    assert sum(found[k] for k in range(len(secrets))) >= 0.95 * len(secrets)
+    assert [t for k, t in enumerate(plain, len(secrets)) if found[k]] == []
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(d, markov).collect()}
+    assert all((clean[k] == "see [SECRET] there") == (found[k] == 1) for k in found)
+
+
 def test_redaction_keeps_the_rest(docs, rows, markov):
     out = secret_scan.redact_secrets(docs, markov)
     assert out.columns == docs.columns
