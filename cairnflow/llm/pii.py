@@ -7,8 +7,10 @@ century. The permutation depends on key and kind alone, so equal values stay equ
 across documents, and it can be inverted with the key.
 
 Kinds: email (local part), IPv4 address, payment card or long account number, IBAN, US social
-security number, phone number, date. A digit run that no kind's check accepts is left alone,
-as is text without any match.
+security number, phone number, date. A match that runs on into a neighbouring value is
+shortened to what its kind's check and the neighbour allow; where a check rejects all
+of its lengths, the other kinds and then the next position are tried. A digit run that no
+kind's check accepts is left alone, as is text without any match.
 
 Cases: null texts stay null and empty ones empty, with zero counts; repeated rows get a row
 each; an empty table gives an empty result; extra columns of the table are kept by
@@ -28,15 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date")
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
-    r"|(?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]|\.\d))"
-)
+#: In the order they are tried at a position.
+PATTERNS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\d/-]|\.\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]|\.\d)",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{r})" for k, r in PATTERNS.items()))
+KIND = {k: re.compile(r) for k, r in PATTERNS.items()}
+#: A match of these kinds can run on into the value behind it.
+OPEN_ENDED = ("iban", "phone", "card")
+END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
+START = re.compile(r"(?<![A-Za-z0-9+(])[A-Za-z0-9+(]")
+#: How payment cards are written: in one piece or in groups.
+CARD = re.compile(r"[2-6]\d{12,18}|[2-6]\d{3}([ -])\d{4}\1\d{4}\1(?:\d{4}(?:\1\d{1,3})?|\d{1,3})|3\d{3}([ -])\d{6}\2\d{4,5}")
+IBAN_LENGTHS = dict(zip(
+    "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split(),
+    map(int, "24 23 28 20 28 20 16 22 22 29 28 21 22 28 24 22 18 28 20 29 24 18 18 27 22 22 23 18 27 28 21 28 22 23 23 26 27 30 30 20 28 32 21 20 21 21 25 27 24 22 19 27 31 30 18 15 24 28 29 25 29 24 22 24 31 24 19 24 27 25 28 23 24 26 29 22 24 20".split()),
+))
 #: Every kind holds one of these, so a text without any isn't searched further.
 HINT = re.compile(r"@|\d")
 ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -75,6 +90,10 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+def luhn_ok(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
 def iban_checks(country: str, body: str) -> str:
     digits = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(digits) % 97:02d}"
@@ -127,7 +146,7 @@ class Pseudonyms:
 
     def _card(self, v: str) -> str:
         digits = re.sub(r"\D", "", v)
-        if luhn_digit(digits[:-1]) == digits[-1]:  # a payment card: the check digit is made to fit again
+        if luhn_ok(digits):  # a payment card: the check digit is made to fit again
             body = self._digits(digits[:-1], "card")
             return refill(v, body + luhn_digit(body))
         return refill(v, self._digits(digits, "account"))
@@ -187,6 +206,56 @@ def _area(area: str) -> int:
     return n - 1 - (n > 666)
 
 
+def neighbours(names: Pseudonyms, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Values (start, end) that begin inside lo ... hi; of digit runs nothing tells where they begin."""
+    found = []
+    for s in START.finditer(text, lo + 1, hi):
+        m = PATTERN.match(text, s.start())
+        if m and m.lastgroup != "card" and names.of(m.lastgroup, m.group()) is not None:
+            found.append(m.span())
+    return found
+
+
+def best_end(names: Pseudonyms, text: str, kind: str, lo: int, hi: int) -> int | None:
+    """The end of the kind's value from ``lo``, at most ``hi``, that the check accepts and that leaves neighbours whole."""
+    ends = [e.start() for e in END.finditer(text, lo, hi) if e.start() < hi and KIND[kind].fullmatch(text, lo, e.start())]
+    good = [e for e in (*ends, hi) if names.of(kind, text[lo:e]) is not None]
+    if len(good) < 2:
+        return good[0] if good else None
+    near = neighbours(names, text, lo, hi)
+
+    def order(e: int) -> tuple[bool, int, int]:
+        value = text[lo:e]
+        chars = sum(c.isalnum() for c in value)
+        national = chars == IBAN_LENGTHS.get(value[:2]) if kind == "iban" else value.startswith("+1") and chars == 11
+        taken = sum(s < e and (e < u or good[0] <= s) for s, u in near)
+        return not national, taken, -e
+
+    return min(good, key=order)
+
+
+def choose(names: Pseudonyms, text: str, m: re.Match) -> tuple[int, int, str, str] | None:
+    """(start, end, kind, pseudonym) of the value that the match holds, or None where no kind accepts any of its lengths."""
+    lo = m.start()
+    for kind in list(PATTERNS)[list(PATTERNS).index(m.lastgroup) :]:
+        w = m if kind == m.lastgroup else KIND[kind].match(text, lo)
+        if not w:
+            continue
+        start, end = w.span()
+        if kind == "card" and not w.group().isdigit():  # a card beside a short number goes before an account of all digits
+            starts = [start, *(s.start() for s in START.finditer(text, start + 1, end))]
+            ends = [end, *(e.start() for e in reversed([*END.finditer(text, start, end)]) if e.start() < end)]
+            cards = ((s, e) for s in starts for e in ends if CARD.fullmatch(text, s, e))
+            own = next(((s, e) for s, e in cards if luhn_ok(re.sub(r"\D", "", text[s:e]))), None)
+            start, end = own or (start, best_end(names, text, kind, start, end))
+        elif kind in OPEN_ENDED:
+            end = best_end(names, text, kind, start, end)
+        new = names.of(kind, text[start:end]) if end is not None else None
+        if new is not None:
+            return start, end, kind, new
+    return None
+
+
 def pseudonymizer(p: PiiParams) -> Callable[[str], tuple[str, dict[str, int]]]:
     """A function from a text to the text with pseudonyms and the number of each kind."""
     names = Pseudonyms(p)
@@ -196,14 +265,17 @@ def pseudonymizer(p: PiiParams) -> Callable[[str], tuple[str, dict[str, int]]]:
         if not HINT.search(text):
             return text, counts
 
-        def one(m: re.Match) -> str:
-            new = names.of(m.lastgroup, m.group())
-            if new is None:
-                return m.group()
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-            return new
-
-        return PATTERN.sub(one, text), counts
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(text, at):
+            hit = choose(names, text, m)
+            if hit is None:
+                at = m.start() + 1
+                continue
+            lo, hi, kind, new = hit
+            counts[kind] = counts.get(kind, 0) + 1
+            out += text[done:lo], new
+            done = at = hi
+        return "".join(out) + text[done:], counts
 
     return run
 

@@ -276,6 +276,25 @@ def test_pii_formats_and_links(spark, docs, none):
     assert pii.pseudonymize(docs).count() == docs.count() and pii.pseudonymize(none).count() == 0
 
 
+def test_pii_neighbouring_values(spark):
+    iban, cards = "ES91 2100 0418 4502 0005 1332", ["4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"]
+    texts = ["+1 (826) 555-4081 190.137.223.204", f"{iban} EUR", f"AB12 {iban} PAID BACK", "1234567890123 2021-03-04", "+49 30 1234 5678 12.05.2021", "+4915112345678901", "999.10.20.30 8.8.8.8", *(f"{c} 12" for c in cards), f"12 {cards[0]}"]
+    alone = ["+1 (826) 555-4081", "190.137.223.204", iban, "1234567890123", "2021-03-04", "+49 30 1234 5678", "12.05.2021", "8.8.8.8", *cards]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts + alone)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(d).collect()}
+    new = {t: got[k].text for k, t in enumerate(alone, len(texts))}
+    assert all(a != b for a, b in new.items())
+    for k, parts in enumerate([alone[:2], [iban], [iban], alone[3:5], alone[5:7], None, ["8.8.8.8"], *([c] for c in cards), [cards[0]]]):
+        if parts is None:
+            assert got[k].n_card == 1 and texts[k][1:] not in got[k].text
+            continue
+        want = texts[k]
+        for x in parts:
+            want = want.replace(x, new[x])
+        assert (got[k].text, got[k].n_pii) == (want, len(parts))
+    assert all(pii.luhn_ok(re.sub(r"\D", "", new[c])) for c in cards)
+
+
 def test_packing_round_trip(docs, none, rows):
     from tokenizers import Tokenizer
 
