@@ -13,8 +13,9 @@ The number of parts grows with the rows, so work is in proportion to them up to
 no other copy can be among the k nearest.
 
 Cases: null vectors and ids, zero vectors, vectors holding nulls or non-finite numbers, and
-those of another dimension than most take no part; ties go to the smaller id; rows that
-share a query's id are its own; with fewer candidates than k all are returned; an empty
+those of another dimension than most take no part; ties go to the smaller id; repeated rows
+count once, an id with several vectors by its nearest one; rows that share a query's id are
+its own; with fewer candidates than k all are returned; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -63,12 +64,13 @@ class Router:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id long, v array<double>) of the rows that take part."""
+    """(vec_id long, v array<double>) of the rows that take part, repeated rows once."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).select("d")
-    return rows.join(F.broadcast(common), F.size("v") == F.col("d"), "left_semi")  # one row
+    rows = rows.join(F.broadcast(common), F.size("v") == F.col("d"), "left_semi")  # one row
+    return rows.dropDuplicates(["vec_id", "v"])
 
 
 def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -191,16 +193,21 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
-    """The k nearest of the block for each query; exact scores, ties to the smaller id."""
+    """The k nearest ids of the block for each query; exact scores, that of an id's nearest vector, ties to the smaller id."""
     unit = lambda a: a / np.sqrt((a * a).sum(1, keepdims=True))
+    order = np.argsort(xid, kind="stable")
+    xid, x = xid[order], x[order]
+    first = np.nonzero(np.r_[True, xid[1:] != xid[:-1]])[0]  # of each id
     rough = unit(q) @ unit(x).T
     out: tuple[list[int], list[int], list[float]] = ([], [], [])
     for i in range(len(q)):
         s = np.where(xid == qid[i], -9.0, rough[i])
-        kth = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -8.0
+        ids = s if len(first) == len(s) else np.maximum.reduceat(s, first)
+        kth = np.partition(ids, len(ids) - k)[len(ids) - k] if len(ids) > k else -8.0
         at = np.nonzero((s >= kth - 1e-9) & (s > -8))[0]
         exact = cosines(q[i], x[at])
-        best = np.lexsort((xid[at], -exact))[:k]
+        best = np.lexsort((xid[at], -exact))
+        best = best[np.sort(np.unique(xid[at][best], return_index=True)[1])[:k]]
         out[0].extend([int(qid[i])] * len(best))
         out[1].extend(xid[at][best].tolist())
         out[2].extend(exact[best].tolist())
@@ -243,7 +250,7 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
 
     cell = ["part", "qb", "xb"]
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, vec_id long, score double")
-    # parts and blocks are disjoint; a repeated row of the table must not fill two ranks
+    # an id with several vectors must not fill two ranks
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

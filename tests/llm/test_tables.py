@@ -80,6 +80,24 @@ def test_nearest_small_is_exact(spark):
     assert ann.nearest(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[1:9] = x[0]  # equal vectors, of which one id is repeated
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    schema, query = "vec_id long, embedding array<float>", F.col("vec_id") % 50 == 0
+    ids = np.arange(300)
+    want = {q: list(enumerate(brute_nearest(ids, x.astype(float), q), 1)) for q in range(0, 300, 50)}
+    for table in (rows + rows, rows + [rows[1]] * 6):
+        got = ann.nearest(spark.createDataFrame(table, schema), query).collect()
+        assert {q: sorted((r["rank"], r.vec_id) for r in got if r.query_id == q) for q in want} == want
+    # ids with several vectors: each counts once, by its nearest one
+    several = rows + [(k, [float(c) for c in x[150] + 0.01 * j]) for j in range(1, 9) for k in (20, 21)]
+    got = ann.nearest(spark.createDataFrame(several, schema), query).where("query_id = 150").orderBy("rank").collect()
+    others = [i for i in brute_nearest(ids, x.astype(float), 150) if i not in (20, 21)]
+    assert {r.vec_id for r in got[:2]} == {20, 21} and [r.vec_id for r in got[2:]] == others[:3]
+
+
 def test_nearest_recall_over_parts(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(40, 16))
