@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -60,16 +60,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, p: SimHashParams) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    key = docs.select("doc_id").schema.simpleString()[len("struct<") : -1]
+def fingerprints(docs: DataFrame, p: SimHashParams, name: str = "doc_id") -> DataFrame:
+    """(the column ``name``, fp): fp is the fingerprint as a signed long."""
+    key = f"`{name}` {docs.schema[name].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid and x.as_buffer() is not None else b"", p.shingle, p.seed) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(name), pa.array(np.array(found, np.uint64).view(np.int64))], names=[name, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{key}, fp long")
+    return docs.select(name, "text").mapInArrow(run, f"{key}, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -211,12 +211,17 @@ def near_links(classes: DataFrame, p: SimHashParams) -> DataFrame:
     return sorted_rows.mapInArrow(run, "u long, v long")
 
 
+def _named(marked: DataFrame, p: SimHashParams, **least: Column) -> DataFrame:
+    """(fp, component, the minimum of each of ``least``) for each fingerprint."""
+    classes = durable(marked.groupBy("fp").agg(*(F.min(c).alias(n) for n, c in least.items())))
+    nodes = connected_components(near_links(classes, p))
+    return classes.join(nodes, classes.fp == nodes.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), *least)
+
+
 def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document."""
     marked = durable(fingerprints(docs, p))
-    classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    nodes = connected_components(near_links(classes, p))
-    named = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "lowest", F.coalesce("component", "fp").alias("component"))
+    named = _named(marked, p, lowest=F.col("doc_id"))
     best = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
     lookup = named.join(best, "component").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -227,8 +232,13 @@ def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> Data
 def keep_one(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     """The documents with one row of each group of near-duplicates, that of the smallest id.
 
-    Rows without an id stay; of rows that share an id one stays.
+    Rows without an id are kept apart: of those of a group one stays. Among rows of one id, or
+    of none, the hashes of the texts decide, and among repeated rows any one.
     """
-    keep = near_duplicates(docs, p).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    hashes = (F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))).alias(f"h{k}") for k in range(2))
+    keyed = docs.withColumn("row key", F.struct("doc_id", *hashes))
+    key, without = F.col("row key"), F.col("row key.doc_id").isNull()
+    named = _named(fingerprints(keyed, p, "row key"), p, known=F.when(~without, key), unknown=F.when(without, key))
+    best = named.groupBy("component").agg(F.array(F.min("known"), F.min("unknown")).alias("keys"))
+    best = best.select(F.explode(F.array_compact("keys")).alias("row key"))
+    return keyed.join(best, "row key", "left_semi").dropDuplicates(["row key"]).select(docs.columns)

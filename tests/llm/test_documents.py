@@ -249,6 +249,15 @@ def test_keep_one(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_with_shared_and_missing_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, a), (None, a), (None, c), (None, c), (None, d), (3, d), (3, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(1, a), (1, b), (None, a), (None, c), (None, d), (3, d)])
+
+
 def test_feistel_is_a_permutation_and_inverts():
     for n in (1, 2, 3, 10, 97, 1000):
         image = [pii.feistel(i, n, b"k", "t") for i in range(n)]
