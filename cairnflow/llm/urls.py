@@ -3,8 +3,8 @@
 The trees judge what no rule fits. They use lexical features alone: length, depth, digit
 ratio, character entropy, parameter counts and statistics of the host's suffix, and are
 trained on labelled URLs; without labels of its own the operator learns from the URLs that
-the rules judge. The fit uses at most ``max_train`` labelled rows (a documented bound, in hash
-order); fitted trees are plain CASE expressions over the features, so scoring is a
+the rules judge. The fit uses at most ``max_train`` distinct labelled URLs (a documented bound,
+in hash order); fitted trees are plain CASE expressions over the features, so scoring is a
 projection without shuffle.
 
 Cases: a null url, or one without ``://``, has empty host and path, no rule, and the
@@ -140,8 +140,8 @@ def _rates(slots: np.ndarray, y: np.ndarray, prior: float, p: UrlParams) -> np.n
 
 
 def train_url_model(labelled: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
-    """Fit on (url, label): 1 block, 0 allow. At most ``max_train`` rows, in hash order, reach the driver."""
-    known = labelled.where("url is not null and label in (0, 1)").select("url", "label")
+    """Fit on (url, label): 1 block, 0 allow. At most ``max_train`` distinct rows, in hash order, reach the driver."""
+    known = labelled.where("url is not null and label in (0, 1)").select("url", "label").distinct()
     rows = known.orderBy(F.xxhash64("url"), "url", "label").limit(p.max_train)
     found = lexical_features(rows, p)
     plain = [f for f in FEATURES if not f.endswith("_rate")]

@@ -54,6 +54,15 @@ def test_trees_learn_held_out(spark):
     assert sum((r.score >= 0) == bool(r.label) for r in got) / len(got) > 0.98
 
 
+def test_repeated_url_does_not_fill_the_sample(spark):
+    pages = [(f"https://{'spam' if k % 2 else 'good'}{k % 37}.{'biz' if k % 2 else 'org'}/{'x' * (k % 5)}/{k}", k % 2) for k in range(600)]
+    d = spark.createDataFrame(pages, "url string, label int")
+    hot = d.orderBy(F.xxhash64("url")).first()
+    p = urls.UrlParams(max_train=300)
+    model = urls.train_url_model(d.union(spark.createDataFrame([hot] * 300, d.schema)), p)
+    assert model.trees and model == urls.train_url_model(d, p)
+
+
 def brute_nearest(ids, x, query, k=5):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u[ids == query][0]
