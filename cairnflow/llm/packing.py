@@ -6,7 +6,9 @@ that finds the tightest open capacity in logarithmic time, and moves many equal
 once. Its plan, a list of intervals of ranks per length, is the packing that document-wise
 best-fit decreasing gives, but grows with ``capacity`` and not with the corpus. Each piece
 then finds its sequence from its rank among the pieces of its length, which partition-wise
-counts and their prefix sums give; no group is ever in one task.
+counts and their prefix sums give; no group is ever in one task. The plan and the counts go
+to the tasks as compressed histograms, so that the pieces stay where they were made; where
+those would be too large, the pieces are joined with them instead.
 
 Cases: null and empty texts are one end token; documents longer than the capacity are cut
 into full pieces and a shorter rest; repeated rows and repeated ids are packed one by one;
@@ -22,6 +24,7 @@ import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,11 @@ from pyspark.sql.window import Window as W
 from .common import WORD_RE, durable, texts_of
 
 CHUNKS = re.compile(WORD_RE).findall
-#: A plan of more rows than this isn't sent to the tasks as a whole but joined.
+#: A plan of more rows, or histograms of more bytes, aren't sent to the tasks as a whole but joined.
 PLAN_ROWS = 400_000
+SENT_BYTES = 64 << 20
+#: Parts whose histograms share a block, and with it one row of prefix sums.
+BLOCK_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=8)
+def id_bytes(p: PackParams) -> int:
+    """Bytes of an id in packed form: 2 if the vocabulary and the end token allow, else 4."""
+    with open(tokenizer_file(p.tokenizer), encoding="utf-8") as f:
+        made = json.load(f)
+    vocab = made["model"]["vocab"]
+    largest = max([len(vocab), p.end_id, *(t["id"] for t in made.get("added_tokens", [])), *(vocab.values() if isinstance(vocab, dict) else ())])
+    return 2 if largest < 65_536 else 4
+
+
 LATIN = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 LOWER = r"a-z\u00df-\u00f6\u00f8-\u017f"
 #: Texts of these characters alone are composed already, and lower-case within their set.
@@ -143,10 +159,11 @@ def encoder(p: PackParams) -> ChunkEncoder:
 def pieces(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
     """Every document's pieces, with the task's number and the rank among its pieces of that length.
 
-    ``with_ids`` adds the ids as bytes: little-endian, two bytes each if the vocabulary allows.
+    ``with_ids`` adds the ids as bytes: little-endian, ``id_bytes(p)`` each.
     """
-    key = docs.select("doc_id").schema.simpleString()[len("struct<") : -1]
-    schema = f"{key}, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids binary" * with_ids
+    key = docs.schema["doc_id"].dataType.simpleString()
+    narrow = with_ids and id_bytes(p) == 2
+    schema = f"doc_id {key}, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids binary" * with_ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"] + ["ids"] * with_ids
     size, end = p.capacity, np.array([p.end_id], "<u4").tobytes()
 
@@ -154,7 +171,6 @@ def pieces(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
         encode = encoder(p)
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        narrow = encode.tok.get_vocab_size() <= 65_536 and p.end_id < 65_536
         for b in batches:
             out: list[list] = [[] for _ in names]
             src = []
@@ -164,7 +180,7 @@ def pieces(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
                     piece = ids[at : at + 4 * size]
                     n = len(piece) // 4
                     src.append(row)
-                    for c, x in zip(out[1:], (k, at // 4, n, zlib.crc32(piece), part, int(seen[n]), np.frombuffer(piece, "<u4").astype("<u2").tobytes() if narrow and with_ids else piece)):
+                    for c, x in zip(out[1:], (k, at // 4, n, zlib.crc32(piece), part, int(seen[n]), np.frombuffer(piece, "<u4").astype("<u2").tobytes() if narrow else piece)):
                         c.append(x)
                     seen[n] += 1
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -247,26 +263,78 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
     return plan, opened
 
 
+def pack_counts(part: np.ndarray, length: np.ndarray, n: np.ndarray) -> bytes:
+    """Histograms of some parts as compressed bytes."""
+    order = np.lexsort((length, part))
+    return zlib.compress(np.stack([part[order], np.diff(length[order], prepend=0), n[order]]).astype("<i4").tobytes())
+
+
+def unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    part, step, n = np.frombuffer(zlib.decompress(raw), "<i4").reshape(3, -1)
+    return part, np.cumsum(step), n
+
+
+@dataclass(frozen=True)
+class RankStarts:
+    """The first rank of each length in a part: prefix sums before its block, then the block's histograms."""
+
+    capacity: int
+    blocks: dict[int, tuple[bytes, bytes]]
+
+    def of(self, number: int) -> np.ndarray:
+        before, counts = self.blocks[number // BLOCK_PARTS]
+        out = np.frombuffer(zlib.decompress(before), "<i8").copy()
+        part, length, n = unpack_counts(counts)
+        earlier = part < number
+        np.add.at(out, length[earlier], n[earlier])
+        return out
+
+
+def rank_starts(counts: DataFrame, p: PackParams) -> RankStarts | None:
+    """The parts' prefix sums in a form to send; None where they take more than ``SENT_BYTES``."""
+
+    def squeeze(t: pa.Table) -> pa.Table:
+        part, length, n = (t.column(c).to_numpy() for c in ("part", "length", "n"))
+        return pa.table({"block": pa.array([int(part[0]) // BLOCK_PARTS], pa.int32()), "counts": pa.array([pack_counts(part, length, n)], pa.binary())})
+
+    # a block is at most BLOCK_PARTS * capacity rows
+    blocks = durable(counts.groupBy(F.floor(F.col("part") / BLOCK_PARTS)).applyInArrow(squeeze, "block int, counts binary"))
+    if (blocks.agg(F.sum(F.length("counts")).alias("n")).first().n or 0) > SENT_BYTES:
+        return None
+    total, made = np.zeros(p.capacity + 1, "<i8"), {}
+    for r in blocks.orderBy("block").collect():  # at most SENT_BYTES
+        made[r.block] = zlib.compress(total.tobytes()), bytes(r.counts)
+        _, length, n = unpack_counts(bytes(r.counts))
+        np.add.at(total, length, n)
+    return RankStarts(p.capacity, made)
+
+
 def place(found: DataFrame, p: PackParams) -> DataFrame:
-    """Add sequence_id and offset to a durable table of pieces."""
+    """Add sequence_id and offset to a durable table of pieces, without moving it unless the plan is too large."""
     counts = durable(found.groupBy("length", "part").agg(F.count("*").alias("n")))
     totals = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     plan, _ = best_fit_decreasing(totals, p.capacity)
-    before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    starts = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("rank_start"))
-    ranked = found.join(starts, ["length", "part"]).withColumn("rank", F.col("rank_start") + F.col("local_rank")).drop("rank_start", "local_rank", "part")
-    if len(plan) > PLAN_ROWS:
-        return _place_by_join(ranked, plan)
+    starts = rank_starts(counts, p) if len(plan) <= PLAN_ROWS else None
+    if starts is None:
+        return _place_by_join(found, counts, plan)
     rows = np.array(plan, np.int64).reshape(-1, 5)
     first_row: dict[int, tuple[int, int]] = {}
     for i, length in enumerate(rows[:, 0]):
         lo, _ = first_row.get(int(length), (i, i))
         first_row[int(length)] = (lo, i + 1)
-    schema = ranked.schema.simpleString()[len("struct<") : -1] + ", sequence_id long, offset long"
+    kept = [c for c in found.columns if c not in ("part", "local_rank")]
+    schema = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id long, offset long"
+    sent = found.sparkSession.sparkContext.broadcast((rows, first_row, starts))  # bounded by PLAN_ROWS and SENT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, first_row, starts = sent.value
+        known: dict[int, np.ndarray] = {}
         for b in batches:
-            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            length, part, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "part", "local_rank"))
+            for k in np.unique(part).tolist():
+                if k not in known:
+                    known = {k: starts.of(k)}  # a task has one part, or few in turn
+                rank = np.where(part == k, rank + known[k][length], rank)
             at = np.zeros(len(length), np.int64)
             for n in np.unique(length):
                 lo, hi = first_row[int(n)]
@@ -274,21 +342,24 @@ def place(found: DataFrame, p: PackParams) -> DataFrame:
                 at[on] = lo + np.searchsorted(rows[lo:hi, 1], rank[on], side="right") - 1
             inner = rank - rows[at, 1]
             each = rows[at, 3]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows[at, 2] + inner // each), pa.array(rows[at, 4] + inner % each * length)], names=[*b.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rows[at, 2] + inner // each), pa.array(rows[at, 4] + inner % each * length)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema).drop("rank")
+    return found.mapInArrow(run, schema)
 
 
-def _place_by_join(ranked: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+def _place_by_join(found: DataFrame, counts: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """As ``place`` for a plan too large to send: the plan rows are merged into each length's ranks.
 
     Buckets of ranks keep a hot length spread: a plan row is repeated for every bucket that
     its interval of ranks meets.
     """
-    spark, width = ranked.sparkSession, 4096
+    spark, width = found.sparkSession, 4096
+    before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("rank_start"))
+    ranked = found.join(starts, ["length", "part"]).withColumn("rank", F.col("rank_start") + F.col("local_rank")).drop("rank_start", "local_rank", "part")
     ends = [plan[i + 1][1] - 1 if i + 1 < len(plan) and plan[i + 1][0] == r[0] else None for i, r in enumerate(plan)]
     rows = spark.createDataFrame([(*r, e) for r, e in zip(plan, ends)], "length long, lo long, first long, each long, base long, hi long")
-    last = ranked.groupBy("length").agg(F.max("rank").alias("top"))
+    last = counts.groupBy("length").agg((F.sum("n") - 1).alias("top"))
     rows = rows.join(last, "length").withColumn("hi", F.coalesce("hi", "top"))
     rows = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     joined = ranked.withColumn("bucket", F.floor(F.col("rank") / width)).join(rows, ["length", "bucket"]).where("rank between lo and hi")

@@ -19,62 +19,63 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .packing import PackParams, pack
+from .packing import PackParams, id_bytes, pack
 
 
 def packed_sequences(docs: DataFrame, p: PackParams = PackParams(), pad_id: int = 0) -> DataFrame:
     """One row per sequence: ids, segments and position resets.
 
-    sequence_id long, doc_ids array<long>, pieces array<int>, starts array<long>,
-    cu_seqlens array<int>, n_tokens int, input_ids array<int>, position_ids array<int>,
-    ids_crc32 long (of the padded row as little-endian unsigned 32-bit).
+    sequence_id long, doc_ids array (of doc_id's type), pieces array<int>, starts array<long>,
+    cu_seqlens array<int>, n_tokens int, id_bytes int, input_ids and position_ids binary
+    (``capacity`` little-endian unsigned numbers of ``id_bytes`` each), ids_crc32 long (of the
+    padded row as little-endian unsigned 32-bit).
     """
-    placed = pack(docs, p, with_ids=True).withColumn("doc_id", F.col("doc_id").cast("long"))
+    placed = pack(docs, p, with_ids=True)
     # rows of a sequence meet in one partition, in order; a sequence holds at most ``capacity`` pieces
     ordered = placed.select("sequence_id", "offset", "doc_id", "piece", "start", "length", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
-    size, steps = p.capacity, np.arange(p.capacity, dtype=np.int32)
-    fields = [("sequence_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("input_ids", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())]
-    out_schema = pa.schema(fields)
-    schema = "sequence_id long, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, n_tokens int, input_ids array<int>, position_ids array<int>, ids_crc32 long"
-
-    def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-        """A list array straight from the numpy rows."""
-        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-        flat = np.concatenate(values) if values else np.zeros(0)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
-
-    def emit(done: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*done)) if done else [()] * len(fields)
-        # ids may be null, so they go as Python lists; they are few beside the tokens
-        arrays = [lists(list(c), t.value_type) if pa.types.is_list(t) and name != "doc_ids" else pa.array(c, t) for c, (name, t) in zip(cols, fields)]
-        return pa.RecordBatch.from_arrays(arrays, schema=out_schema)
-
-    def sequence(rows: list[tuple]) -> tuple:
-        ids, positions = np.full(size, pad_id, np.int32), np.zeros(size, np.int32)
-        for _, at, _, _, _, n, raw in rows:
-            ids[at : at + n] = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
-            positions[at : at + n] = steps[:n]
-        cuts = np.array([0, *(r[1] + r[5] for r in rows)])
-        column = lambda k: np.array([r[k] for r in rows], np.int64)
-        return rows[0][0], [r[2] for r in rows], column(3), column(4), cuts, int(cuts[-1]), ids, positions, zlib.crc32(ids.astype("<u4").tobytes())
+    stored = id_bytes(p)
+    width = stored if max(pad_id, p.capacity) < 65_536 else 4
+    size, kinds = p.capacity, {2: "<u2", 4: "<u4"}
+    key = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"sequence_id long, doc_ids array<{key}>, pieces array<int>, starts array<long>, cu_seqlens array<int>, n_tokens int, id_bytes int, input_ids binary, position_ids binary, ids_crc32 long"
+    names = ["sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "n_tokens", "id_bytes", "input_ids", "position_ids", "ids_crc32"]
+    steps, pad = np.arange(size).astype(kinds[width]).tobytes(), np.array([pad_id], kinds[width]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         done: list[tuple] = []
+
+        def sequence() -> tuple:
+            ids = b"".join([r[6] for r in rows])
+            if width != stored:
+                ids = np.frombuffer(ids, kinds[stored]).astype(kinds[width]).tobytes()
+            cuts = [0, *(r[1] + r[5] for r in rows)]
+            n = cuts[-1]
+            ids += pad * (size - n)
+            positions = b"".join([*(steps[: r[5] * width] for r in rows), bytes(width * (size - n))])
+            crc = zlib.crc32(np.frombuffer(ids, kinds[width]).astype("<u4"))
+            return rows[0][0], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], cuts, n, width, ids, positions, crc
+
+        def emit(kind: pa.DataType) -> pa.RecordBatch:
+            types = (pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * len(types), types)], names=names)
+
+        kind = pa.int64()
         for b in batches:
+            kind = b.schema.field(2).type
             for row in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if rows and rows[-1][0] != row[0]:
-                    done.append(sequence(rows))
-                    rows = []
+                    done.append(sequence())
+                    rows.clear()
                     if len(done) >= 256:
-                        yield emit(done)
-                        done = []
+                        yield emit(kind)
+                        done.clear()
                 rows.append(row)
         if rows:
-            done.append(sequence(rows))
-        yield emit(done)
+            done.append(sequence())
+        if done:
+            yield emit(kind)
 
     return ordered.mapInArrow(run, schema)
 
@@ -82,25 +83,19 @@ def packed_sequences(docs: DataFrame, p: PackParams = PackParams(), pad_id: int
 def write_packed(docs: DataFrame, path: str, p: PackParams = PackParams(), pad_id: int = 0) -> None:
     """Write the sequences as Parquet of fixed-size binary rows, with a description beside it.
 
-    Columns: sequence_id, input_ids (capacity x 4 bytes, little-endian unsigned), cu_seqlens,
-    position_ids. Spark's commit protocol writes it, so a lost executor leaves no partial file.
+    The columns are those of ``packed_sequences``, so a cut document is put together again
+    from doc_ids, pieces and starts. Spark's commit protocol writes it, so a lost executor
+    leaves no partial file.
     """
-    rows = packed_sequences(docs, p, pad_id)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [pa.array([np.asarray(x.values, "<u4").tobytes() for x in b.column(c)], pa.binary()) for c in ("input_ids", "position_ids")]
-            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), raw[0], b.column("cu_seqlens"), raw[1]], names=["sequence_id", "input_ids", "cu_seqlens", "position_ids"])
-
-    rows.mapInArrow(run, "sequence_id long, input_ids binary, cu_seqlens array<int>, position_ids binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    packed_sequences(docs, p, pad_id).write.mode("overwrite").option("compression", "zstd").parquet(path)
     spark = docs.sparkSession
-    note = json.dumps({"capacity": p.capacity, "dtype": "<u4", "pad_id": pad_id, "end_id": p.end_id, "tokenizer": p.tokenizer})
+    note = json.dumps({"capacity": p.capacity, "dtype": "little-endian unsigned, id_bytes bytes", "pad_id": pad_id, "end_id": p.end_id, "tokenizer": p.tokenizer})
     spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "_description"))
 
 
 def read_matrix(path: str, capacity: int = 4096) -> np.ndarray:
     """The id matrix of a part file or folder that ``write_packed`` wrote, rows by sequence_id (for tests and small sets)."""
     files = sorted(f for f in os.listdir(path) if f.endswith(".parquet")) if os.path.isdir(path) else [""]
-    tables = [pq.read_table(os.path.join(path, f) if f else path, columns=["sequence_id", "input_ids"]) for f in files]
-    t = pa.concat_tables(tables).sort_by("sequence_id")
-    return np.stack([np.frombuffer(x, "<u4") for x in t.column("input_ids").to_pylist()]) if t.num_rows else np.zeros((0, capacity), "<u4")
+    tables = [pq.read_table(os.path.join(path, f) if f else path, columns=["sequence_id", "id_bytes", "input_ids"]) for f in files]
+    rows = sorted((r for t in tables for r in zip(*(c.to_pylist() for c in t.columns))), key=lambda r: r[0])
+    return np.stack([np.frombuffer(x, f"<u{n}").astype("<u4") for _, n, x in rows]) if rows else np.zeros((0, capacity), "<u4")

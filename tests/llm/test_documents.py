@@ -362,24 +362,54 @@ def test_plan_by_join_is_the_same(docs, monkeypatch):
     monkeypatch.setattr(packing, "PLAN_ROWS", 0)
     b = packing.pack(docs, p)
     key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
-    assert len(key(a)) == len(key(b)) and a.select("sequence_id").distinct().count() == b.select("sequence_id").distinct().count()
+    assert key(a) == key(b)
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "SENT_BYTES", 0)
+    assert key(a) == key(packing.pack(docs, p))
 
 
-def test_packed_matrices(docs, none, tmp_path):
+def test_rank_starts_of_many_parts(spark):
+    rng = random.Random(4)
+    counts = {(part, n): rng.randint(1, 9) for part in range(0, 400, 3) for n in rng.sample(range(1, 65), 20)}
+    df = spark.createDataFrame([(*k, v) for k, v in counts.items()], "part int, length long, n long")
+    starts = packing.rank_starts(df, packing.PackParams(capacity=64))
+    for part in (0, 3, 63, 66, 192, 399):
+        got = starts.of(part)
+        assert [int(x) for x in got] == [sum(v for (q, m), v in counts.items() if q < part and m == n) for n in range(65)]
+
+
+def test_packed_matrices(docs, none, rows, tmp_path):
+    from tokenizers import Tokenizer
+
     p = packing.PackParams(capacity=512)
     seqs = token_output.packed_sequences(docs, p).collect()
     pieces = {(r.doc_id, r.piece, r.start): r.ids_crc32 for r in packing.pack(docs, p).collect()}
+    assert len(seqs) == packing.pack(docs, p).select("sequence_id").distinct().count()
     for s in seqs:
-        assert len(s.input_ids) == len(s.position_ids) == 512 and s.cu_seqlens[0] == 0 and s.cu_seqlens[-1] == s.n_tokens
+        assert s.id_bytes == 2 and len(s.input_ids) == len(s.position_ids) == 1024 and s.cu_seqlens[0] == 0 and s.cu_seqlens[-1] == s.n_tokens
+        ids, positions = np.frombuffer(s.input_ids, "<u2"), np.frombuffer(s.position_ids, "<u2")
         for k, (d, n, at) in enumerate(zip(s.doc_ids, s.pieces, s.starts)):
             lo, hi = s.cu_seqlens[k], s.cu_seqlens[k + 1]
-            assert zlib.crc32(np.array(s.input_ids[lo:hi], "<u4").tobytes()) == pieces[d, n, at]
-            assert s.position_ids[lo:hi] == list(range(hi - lo))
-        assert set(s.input_ids[s.n_tokens :]) <= {0}
-    token_output.write_packed(docs, str(tmp_path / "out"), p)
-    m = token_output.read_matrix(str(tmp_path / "out"), 512)
+            assert zlib.crc32(ids[lo:hi].astype("<u4").tobytes()) == pieces[d, n, at]
+            assert positions[lo:hi].tolist() == list(range(hi - lo))
+        assert set(ids[s.n_tokens :].tolist()) <= {0} and zlib.crc32(ids.astype("<u4").tobytes()) == s.ids_crc32
+    path = str(tmp_path / "out")
+    token_output.write_packed(docs, path, p)
+    m = token_output.read_matrix(path, 512)
     assert m.shape == (len(seqs), 512)
     assert sorted(zlib.crc32(r.tobytes()) for r in m) == sorted(s.ids_crc32 for s in seqs)
+    # the documents come back from the files alone
+    tok = Tokenizer.from_file(packing.tokenizer_file("word_bpe_49k.json"))
+    found = {}
+    for r in docs.sparkSession.read.parquet(path).collect():
+        ids = np.frombuffer(r.input_ids, f"<u{r.id_bytes}")
+        for k, (d, at) in enumerate(zip(r.doc_ids, r.starts)):
+            found.setdefault(d, []).append((at, ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
+    once = [r for r in rows if sum(x[0] == r[0] for x in rows) == 1]
+    for r in once:
+        assert sum((x for _, x in sorted(found[r[0]])), []) == [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1]
+    named = token_output.packed_sequences(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text").limit(9), p)
+    assert {d for r in named.collect() for d in r.doc_ids if d} <= {f"d{r[0]}" for r in rows}
     assert token_output.packed_sequences(none, p).count() == 0
 
 
