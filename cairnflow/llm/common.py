@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from ..plans.iterate import durable, shared_dir
 
-__all__ = ["ascii_lower", "durable", "literal_doubles", "n_words", "shared_dir", "table", "texts_of"]
+__all__ = ["ascii_lower", "durable", "fields", "free_name", "literal_doubles", "n_words", "quoted", "shared_dir", "table", "texts_of"]
 
 #: A word of every contract here: a run of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -22,6 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it as long as a column has that name in any case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def fields(df: DataFrame, names: Iterable[str], **more: str) -> StructType:
+    """The schema of ``names`` of ``df`` and then of ``more`` (name to type)."""
+    out = StructType([df.schema[n] for n in names])
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 

@@ -3,18 +3,20 @@
 A value is validated, mapped to a number of its format's domain, permuted by a keyed Feistel
 network with cycle walking, and written in the same format: cards stay Luhn-valid, IBANs keep
 their country and check digits, addresses stay addresses, dates stay dates of the same
-century. The permutation depends on key and kind alone, so equal values stay equal
-across documents, and it can be inverted with the key.
+century with the order and padding of their fields. The permutation depends on key and kind
+alone, so equal values stay equal across documents, and it can be inverted with the key.
 
-Kinds: email (local part), IPv4 address, payment card or long account number, IBAN, US social
-security number, phone number, date. A match that runs on into a neighbouring value is
+Kinds: email (local part, in blocks of ``EMAIL_BLOCK`` characters), IPv4 address, payment card
+(by its check digit), IBAN, US social security number, phone number, date. A match that runs on into a neighbouring value is
 shortened to what its kind's check and the neighbour allow; where a check rejects all
 of its lengths, the other kinds and then the next position are tried. A digit run that no
-kind's check accepts is left alone, as is text without any match.
+kind's check accepts is left alone, as is text without any match. A date of two numbers up to
+12 is read day first; one whose second number is larger is read month first and stays so.
 
 Cases: null texts stay null and empty ones empty, with zero counts; repeated rows get a row
-each; an empty table gives an empty result; extra columns of the table are kept by
-``pseudonymize`` and may have any name but n_<kind> and n_pii.
+each; an empty table gives an empty result; very long texts and values take time in
+proportion to their length; extra columns of the table are kept by ``pseudonymize``, and where
+one is named like a count (n_<kind>, n_pii), the count gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,10 +33,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import fields, free_name, quoted
+
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date")
 #: In the order they are tried at a position.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\d/-]|\.\d)",
@@ -54,14 +60,29 @@ IBAN_LENGTHS = dict(zip(
 ))
 #: Every kind holds one of these, so a text without any isn't searched further.
 HINT = re.compile(r"@|\d")
+#: Characters of an email's local part that are permuted together.
+EMAIL_BLOCK = 64
 ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: bytes = b"cairnflow-pseudonyms"
+    """key: the secret of the permutations, 1 to 64 bytes; whoever holds it can invert them."""
+
+    key: bytes
     rounds: int = 8
 
+    def __post_init__(self) -> None:
+        if not 1 <= len(self.key) <= 64:
+            raise ValueError("the key must have 1 to 64 bytes")
+
+
+def expand(side: bytes, key: bytes, person: bytes, n: int) -> bytes:
+    """``n`` keyed pseudo-random bytes, of several digests where one is too short."""
+    if n <= 64:
+        return hashlib.blake2b(side, key=key, person=person, digest_size=n).digest()
+    return b"".join(hashlib.blake2b(side + k.to_bytes(8, "big"), key=key, person=person).digest() for k in range(-(-n // 64)))[:n]
+
 
 def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 8, inverse: bool = False) -> int:
     """A keyed permutation of 0 ... size - 1: balanced Feistel network with cycle walking."""
@@ -74,8 +95,8 @@ def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 8, inve
         left, right = value >> half, value & mask
         for r in range(rounds - 1, -1, -1) if inverse else range(rounds):
             side = left if inverse else right
-            digest = hashlib.blake2b(side.to_bytes(wide, "big"), key=key[:64], person=hashlib.md5(f"{tweak}/{size}/{r}".encode()).digest(), digest_size=wide + 8).digest()
-            mixed = int.from_bytes(digest, "big") & mask
+            person = hashlib.md5(f"{tweak}/{size:x}/{r}".encode()).digest()
+            mixed = int.from_bytes(expand(side.to_bytes(wide, "big"), key, person, wide + 8), "big") & mask
             left, right = (right ^ mixed, left) if inverse else (right, left ^ mixed)
         value = left << half | right
         if value < size:
@@ -135,7 +156,8 @@ class Pseudonyms:
 
     def _email(self, v: str) -> str:
         local, _, domain = v.partition("@")
-        return f"{self._mixed(local, 'email')}@{domain}"
+        blocks = (local[k : k + EMAIL_BLOCK] for k in range(0, len(local), EMAIL_BLOCK))
+        return "".join(self._mixed(b, f"email{k or ''}") for k, b in enumerate(blocks)) + "@" + domain
 
     def _ip(self, v: str) -> str | None:
         parts = [int(x) for x in v.split(".")]
@@ -144,12 +166,12 @@ class Pseudonyms:
         n = feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, self.p.key, "ip", self.p.rounds)
         return ".".join(map(str, n.to_bytes(4, "big")))
 
-    def _card(self, v: str) -> str:
+    def _card(self, v: str) -> str | None:
         digits = re.sub(r"\D", "", v)
-        if luhn_ok(digits):  # a payment card: the check digit is made to fit again
-            body = self._digits(digits[:-1], "card")
-            return refill(v, body + luhn_digit(body))
-        return refill(v, self._digits(digits, "account"))
+        if not luhn_ok(digits):
+            return None
+        body = self._digits(digits[:-1], "card")
+        return refill(v, body + luhn_digit(body))
 
     def _iban(self, v: str) -> str | None:
         bare = v.replace(" ", "")
@@ -176,26 +198,48 @@ class Pseudonyms:
         return refill(v, digits[:lead] + self._digits(digits[lead:], "phone"))
 
     def _date(self, v: str) -> str | None:
+        a, b, c = re.split(r"[-/.]", v)
         iso = "-" in v
-        sep = "-" if iso else re.search(r"[/.]", v).group()
-        a, b, c = (int(x) for x in re.split(r"[-/.]", v))
-        y, m, d = (a, b, c) if iso else (c, b, a)
-        if not iso and m > 12:
-            m, d = d, m  # month first
-            swapped = True
-        else:
-            swapped = False
+        y, m, d = (int(x) for x in ((a, b, c) if iso else (c, b, a)))
+        swapped = not iso and m > 12  # month first
+        if swapped:
+            m, d = d, m
         try:
-            day = datetime.date(y, m, d)
+            day = datetime.date(y, m, d).toordinal()
         except ValueError:
             return None
-        first = datetime.date(max(1, y // 100 * 100), 1, 1).toordinal()
-        size = (datetime.date(y // 100 * 100 + 99, 12, 31).toordinal()) - first + 1
-        new = datetime.date.fromordinal(first + feistel(day.toordinal() - first, size, self.p.key, f"date{y // 100}", self.p.rounds))
+        free = iso or len(a) == len(b) == 2
+        styles = (0, 0) if free else (field_style(a), field_style(b))
+        days = same_style(y // 100, swapped, *styles)
+        tweak = f"date{y // 100}" + ("" if free and not swapped else f"/{swapped}{styles}")
+        new = datetime.date.fromordinal(days[feistel(bisect_left(days, day), len(days), self.p.key, tweak, self.p.rounds)])
         if iso:
             return new.isoformat()
         x, z = (new.month, new.day) if swapped else (new.day, new.month)
-        return f"{x:02d}{sep}{z:02d}{sep}{new.year:04d}"
+        sep = v[len(a)]
+        return f"{x:0{len(a)}d}{sep}{z:0{len(b)}d}{sep}{new.year:04d}"
+
+
+def field_style(field: str) -> int:
+    """Of a day or month beside a one-digit one: 1 one digit, 2 padded to two, 3 ten or more."""
+    return 1 if len(field) == 1 else 2 if field[0] == "0" else 3
+
+
+@lru_cache(maxsize=512)
+def same_style(century: int, swapped: bool, first: int, second: int) -> array:
+    """Ordinals of a century's dates that are written the same way: order of fields, and style of each (0: any)."""
+    lo = datetime.date(max(1, century * 100), 1, 1).toordinal()
+    hi = datetime.date(century * 100 + 99, 12, 31).toordinal()
+    fits = lambda n, style: not style or (n > 9) == (style == 3)
+    out = array("l")
+    for k in range(lo, hi + 1):
+        d = datetime.date.fromordinal(k)
+        if swapped and d.day <= 12:  # would be read day first
+            continue
+        x, z = (d.month, d.day) if swapped else (d.day, d.month)
+        if fits(x, first) and fits(z, second):
+            out.append(k)
+    return out
 
 
 ASCII = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -280,10 +324,12 @@ def pseudonymizer(p: PiiParams) -> Callable[[str], tuple[str, dict[str, int]]]:
     return run
 
 
-def pseudonymize(docs: DataFrame, p: PiiParams = PiiParams(), columns: tuple[str, ...] | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, p: PiiParams, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The documents with pseudonyms in ``text``, and n_<kind> and n_pii."""
     names = list(columns or docs.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    numbers: list[str] = []
+    for k in (*KINDS, "pii"):
+        numbers.append(free_name([*names, *numbers], f"n_{k}"))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +342,7 @@ def pseudonymize(docs: DataFrame, p: PiiParams = PiiParams(), columns: tuple[str
                 counts.append(found)
             arrays = list(b.columns)
             arrays[at] = pa.array(texts, b.schema.field(at).type)
-            numbers = [pa.array([c.get(k, 0) for c in counts], pa.int64()) for k in KINDS]
-            total = pa.array([sum(c.values()) for c in counts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*arrays, *numbers, total], names=[*names, *(f"n_{k}" for k in KINDS), "n_pii"])
+            arrays += [pa.array([c.get(k, 0) for c in counts], pa.int64()) for k in KINDS]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([sum(c.values()) for c in counts], pa.int64())], names=[*names, *numbers])
 
-    return docs.select(*(f"`{n}`" for n in names)).mapInArrow(run, f"{schema}, {', '.join(f'n_{k} long' for k in KINDS)}, n_pii long")
+    return docs.select(*map(quoted, names)).mapInArrow(run, fields(docs, names, **dict.fromkeys(numbers, "long")))
