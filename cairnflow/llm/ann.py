@@ -5,15 +5,17 @@
    reduce cut edges within a capacity.
 2. A small network learns to predict the parts of a vector's neighbours.
 3. Every row of the index goes to its most probable part; a query goes to its several most
-   probable parts, as many as reached ``aim`` recall on the sample.
+   probable parts, as many as reached ``aim`` recall for sample vectors kept from training.
 4. Queries and index rows meet in blocks of bounded size per part and are reranked exactly.
 
-The number of parts grows with the rows, so work is in proportion to them up to
-``max_parts * rows_per_part`` rows. Equal vectors are indexed by their k + 1 smallest ids:
+There are ``least_parts`` parts from ``least_parts * least_sample`` rows on, and more as the rows
+grow, so work is in proportion to them up to ``max_parts * rows_per_part`` rows; beyond that
+the parts grow. Equal vectors are indexed by their k + 1 smallest ids:
 no other copy can be among the k nearest.
 
-Cases: null vectors and ids, zero vectors, vectors holding nulls or non-finite numbers, and
-those of another dimension than most take no part; ties go to the smaller id; repeated rows
+Cases: null vectors and ids, zero vectors and vectors holding nulls or non-finite numbers
+take no part; vectors of other dimensions than the commonest are compared with those of their
+own dimension, all with all in blocks; ties go to the smaller id; repeated rows
 count once, an id with several vectors by its nearest one; rows that share a query's id are
 its own; with fewer candidates than k all are returned; an empty
 table gives an empty result; extra columns are ignored.
@@ -37,9 +39,11 @@ from .common import durable
 class AnnParams:
     k: int = 5
     rows_per_part: int = 2000
+    least_parts: int = 8
     max_parts: int = 1024
+    least_sample: int = 24
     sample_per_part: int = 160
-    max_sample: int = 16_384
+    max_sample: int = 32_768
     graph_degree: int = 10
     hidden: int = 128
     epochs: int = 14
@@ -55,7 +59,7 @@ class Router:
     probes: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        h = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+        h = x
         for i, (w, b) in enumerate(self.layers):
             h = h @ w + b
             if i + 1 < len(self.layers):
@@ -67,10 +71,13 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     """(vec_id long, v array<double>) of the rows that take part, repeated rows once."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).select("d")
-    rows = rows.join(F.broadcast(common), F.size("v") == F.col("d"), "left_semi")  # one row
-    return rows.dropDuplicates(["vec_id", "v"])
+    return rows.where(finite & F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id", "v"])
+
+
+def unit(a: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that tiny and huge components neither vanish nor overflow."""
+    a = a / np.abs(a).max(1, keepdims=True)
+    return a / np.sqrt((a * a).sum(1, keepdims=True))
 
 
 def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -121,10 +128,15 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
 
 
 def fit_router(x: np.ndarray, parts: int, p: AnnParams) -> Router:
-    """Partition the sample's graph and train the classifier on its neighbours' parts."""
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    """Partition the sample's graph, train the classifier on its neighbours' parts, set the probes.
+
+    Every sixth vector is kept from training: the probes are as many as put ``aim`` of the
+    kept vectors' true neighbours into the parts searched.
+    """
     if parts < 2 or len(x) < 4 * parts:
         return Router((), 1, 1)
+    x = unit(x).astype(np.float32)
+    kept, x = x[::6], x[np.arange(len(x)) % 6 > 0]
     graph = knn_graph(x, p.graph_degree)
     label = balanced_parts(x, graph, parts)
     target = np.zeros((len(x), parts), np.float32)
@@ -151,18 +163,20 @@ def fit_router(x: np.ndarray, parts: int, p: AnnParams) -> Router:
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 w[i] -= 0.004 * (1 - epoch / p.epochs * 0.8) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     router = Router(((w[0], w[1]), (w[2], w[3])), parts, 1)
-    scores = router.scores(x)
-    home = scores.argmax(1)
-    at = np.argsort(-scores, axis=1).argsort(1)  # rank of each part for each sample point
-    near = graph[:, : p.k]
-    rank = np.take_along_axis(at, home[near], 1)
-    probes = next(n for n in range(1, parts + 1) if (rank < n).mean() >= p.aim or n == parts)
-    return Router(router.layers, parts, probes)
+    home = router.scores(x).argmax(1)
+    hits = np.zeros(parts, np.int64)  # neighbours found in the n-th most probable part
+    for lo in range(0, len(kept), 1024):
+        q = kept[lo : lo + 1024]
+        near = np.argpartition(-(q @ x.T), min(p.k, len(x)) - 1, axis=1)[:, : p.k]
+        at = np.argsort(-router.scores(q), axis=1, kind="stable").argsort(1)
+        hits += np.bincount(np.take_along_axis(at, home[near], 1).ravel(), minlength=parts)
+    found = np.cumsum(hits) / max(hits.sum(), 1)
+    return Router(router.layers, parts, int(min(np.searchsorted(found, p.aim) + 1, parts)))
 
 
 def _rows(b: pa.RecordBatch) -> np.ndarray:
     col = b.column("v")
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
 
 def route(rows: DataFrame, router: Router, need: np.ndarray | None, least: int) -> DataFrame:
@@ -172,7 +186,7 @@ def route(rows: DataFrame, router: Router, need: np.ndarray | None, least: int)
         for b in batches:
             if not b.num_rows:
                 continue
-            scores = router.scores(_rows(b).astype(np.float32))
+            scores = router.scores(unit(_rows(b)).astype(np.float32))
             if need is None:
                 i, part = np.arange(b.num_rows), scores.argmax(1)
             else:
@@ -189,12 +203,14 @@ def route(rows: DataFrame, router: Router, need: np.ndarray | None, least: int)
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of q and each row, in double precision, the same for equal rows wherever they stand."""
+    big, tops = np.abs(q).max(), np.abs(x).max(1)
+    if len(x) and not (1e-100 < big < 1e100 and 1e-100 < tops.min() and tops.max() < 1e100):  # squares would vanish or overflow
+        q, x = q / big, x / tops[:, None]
     return (x * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1)))
 
 
 def nearest_in_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
     """The k nearest ids of the block for each query; exact scores, that of an id's nearest vector, ties to the smaller id."""
-    unit = lambda a: a / np.sqrt((a * a).sum(1, keepdims=True))
     order = np.argsort(xid, kind="stable")
     xid, x = xid[order], x[order]
     first = np.nonzero(np.r_[True, xid[1:] != xid[:-1]])[0]  # of each id
@@ -216,16 +232,18 @@ def nearest_in_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndar
 
 def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that ``is_query`` (on vec_id) selects."""
-    rows = durable(usable(vectors))
-    n = rows.count()
-    parts = int(min(p.max_parts, max(1, -(-n // p.rows_per_part))))
-    size = min(p.max_sample, parts * p.sample_per_part)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect() if parts > 1 else []
+    every = durable(usable(vectors))
+    dims = every.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
+    main = dims[0].d if dims else 0
+    rows, n = every.where(F.size("v") == main), dims[0]["count"] if dims else 0
+    parts = int(min(p.max_parts, max(p.least_parts, -(-n // p.rows_per_part))))
+    parts = parts if n >= parts * p.least_sample else 1
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(p.max_sample, max(4096, parts * p.sample_per_part))).collect() if parts > 1 else []
     router = fit_router(np.array([r.v for r in sample]), parts, p) if sample else Router((), 1, 1)
     # of equal vectors only the smallest ids can be among the nearest, one more for the query's own
     copies = W.partitionBy("v").orderBy("vec_id")
-    index = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= p.k + 1).drop("copy")
-    index = durable(route(index, router, None, 0))
+    indexed = every.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= p.k + 1).drop("copy")
+    index = durable(route(indexed.where(F.size("v") == main), router, None, 0))
     sizes = np.zeros(router.parts, np.int64)
     for r in index.groupBy("part").count().collect():  # at most max_parts rows
         sizes[r.part] = r["count"]
@@ -235,9 +253,19 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
         asked[r.part] = r["count"]
     blocks = lambda counts, size: F.array(*(F.lit(max(1, -(-int(c) // size))) for c in counts))
     n_index, n_query = F.get(blocks(sizes, p.index_block), F.col("part")), F.get(blocks(asked, p.query_block), F.col("part"))
-    spread = lambda df, own, other, mine, theirs: df.withColumn(mine, F.pmod(F.xxhash64("vec_id"), own).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), other - 1)))
+    spread = lambda df, own, other, mine, theirs: df.withColumn(mine, F.pmod(F.xxhash64("vec_id"), own).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), (other - 1).cast("int"))))
     left = spread(queries, n_query, n_index, "qb", "xb")
     right = spread(index, n_index, n_query, "xb", "qb")
+    if not every.where(F.size("v") != main).isEmpty():
+        # the rarer dimensions, each a part of its own with a negative number
+        odd = F.size("v") != main
+        count = lambda df, name: df.groupBy("part").agg(F.count("*").alias(name))
+        asks, holds = (df.where(odd).select("vec_id", "v", (-F.size("v")).alias("part")) for df in (every.where(is_query), indexed))
+        met = count(asks, "nq").join(count(holds, "nx"), "part")
+        n_q, n_x = F.ceil(F.col("nq") / p.query_block).cast("int"), F.ceil(F.col("nx") / p.index_block).cast("int")
+        cols = ["vec_id", "v", "part", "qb", "xb"]
+        left = left.select(cols).union(spread(asks.join(met, "part"), n_q, n_x, "qb", "xb").select(cols))
+        right = right.select(cols).union(spread(holds.join(met, "part"), n_x, n_q, "xb", "qb").select(cols))
     k = p.k
 
     def search(q: pa.Table, x: pa.Table) -> pa.Table:
