@@ -2,18 +2,18 @@
 
 Spans come without a UDF: for a pattern, ``split`` gives the text between its matches and
 ``regexp_extract_all`` the matches, so running sums of their lengths are the positions, in
-code points.
+code points; they are summed in chunks, so that very many matches don't cost their square.
 
 The Markov part compares two first-order character models, of random strings and of ordinary
-identifiers, fitted by counting character pairs in labelled samples. A candidate (any run of
-identifier characters of a least length) is a secret if its log-likelihood ratio per
-character passes a threshold that is set on the samples; drawn lines and fill characters
-count once for this. The tables have one entry per pair of an alphabet of fixed size, so they
+identifiers, fitted by counting character pairs in three quarters of the labelled samples. A
+candidate (any run of identifier characters of a least length, whatever the base patterns
+say of it) is a secret if its log-likelihood ratio per character passes a threshold that is
+set on the other quarter; drawn lines and fill characters count once for this. The tables have one entry per pair of an alphabet of fixed size, so they
 are literals of the plan.
 
-Cases: null and empty texts have no spans; overlapping kinds are all reported for the base
-patterns, while a Markov span that meets a base span is dropped; repeated rows get a row
-each; an empty table gives an empty result; extra columns are ignored.
+Cases: null and empty texts have no spans; overlapping spans of several kinds are all
+reported, and redacted as one; repeated rows get a row each; an empty table gives an empty
+result; extra columns are ignored by the report and kept by the redaction under any name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_doubles
+from .common import literal_doubles, quoted
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -111,26 +111,36 @@ def _mean_ratio(text: Column, table: Column) -> Column:
 def train_markov(samples: DataFrame, p: MarkovParams = MarkovParams()) -> MarkovModel:
     """Fit both models by pair counts, and the threshold as the identifiers' (1 - false_rate) quantile.
 
-    The counts are grouped in Spark; a table of CLASSES squared entries reaches the driver.
-    Null and one-character samples add nothing.
+    Every fourth distinct sample, by hash, is kept from the counts and sets the threshold
+    (without such identifiers it is 0). The counts are grouped in Spark; a table of CLASSES
+    squared entries reaches the driver. Null and one-character samples add nothing.
     """
     one = samples.where("text is not null and length(text) > 1 and label in (0, 1)").select("text", "label")
-    codes = one.select("label", _classes(F.col("text")).alias("c"))
+    kept = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    codes = one.where(~kept).select("label", _classes(F.col("text")).alias("c"))
     pairs = codes.select("label", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("x"))
     counts = pairs.groupBy("label", "x.a", "x.b").count().collect()
     seen = [[[p.smoothing] * CLASSES for _ in range(CLASSES)] for _ in range(2)]
     for r in counts:
         seen[r.label][r.a][r.b] += r["count"]
     ratio = tuple(math.log(seen[1][a][b] / sum(seen[1][a])) - math.log(seen[0][a][b] / sum(seen[0][a])) for a in range(CLASSES) for b in range(CLASSES))
-    scored = one.where("label = 0").select(MarkovModel(ratio, 0.0).score(F.col("text")).alias("s"))
+    scored = one.where(kept & (F.col("label") == 0)).select(MarkovModel(ratio, 0.0).score(F.col("text")).alias("s"))
     cut = scored.agg(F.percentile("s", F.lit(1 - p.false_rate)).alias("q")).first().q
     return MarkovModel(ratio, max(0.0, cut if cut is not None else 0.0))
 
 
+SPANS = "array<struct<start:int,k:int,end:int,kind:string,hit:string>>"
+#: Matches whose places are summed up together.
+CHUNK = 256
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Array of (start, kind number, end, kind name, hit) of the pattern's matches that ``keep`` accepts."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,kind:string,hit:string>>").alias("out"))
+    # the gap after the last match has no hit
+    zipped = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    part = lambda i: F.slice(zipped, i * CHUNK + 1, F.lit(CHUNK))
+    chars = lambda acc, x: acc + F.length(x["gap"]) + F.length(x["hit"])
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["at"] + F.length(x["gap"])
@@ -138,27 +148,29 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
         one = F.struct(lo.alias("start"), F.lit(KINDS.index(kind)).alias("k"), hi.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
         return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    # the gap after the last match has no hit
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def chunk(acc: Column, i: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("out"))
+        return F.struct(F.aggregate(part(i), acc["at"], chars).alias("at"), F.concat(acc["out"], F.array(F.aggregate(part(i), start, step, lambda a: a["out"]))).alias("out"))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / CHUNK).cast("int"))
+    many = F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), chunk, lambda acc: acc["out"]))
+    few = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    found = F.when(F.size(hits) > CHUNK, many).otherwise(few)
     found = F.filter(found, keep) if keep else found
-    empty = F.array().cast("array<struct<start:int,k:int,end:int,kind:string,hit:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(SPANS))
 
 
 def find_secrets(docs: DataFrame, model: MarkovModel, p: MarkovParams = MarkovParams()) -> DataFrame:
-    """The documents with ``base`` and ``markov``: arrays of spans (start, k, end, kind, hit)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """(row, base, markov): the document as a struct, and arrays of spans (start, k, end, kind, hit)."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
     long_value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= 6
     base = F.concat(_spans(text, ASSIGN, "assign", long_value), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
-    candidate = r"[A-Za-z0-9+/_=-]{%d,}" % p.min_length
-    found = docs.withColumn("base", F.array_sort(base)).withColumn("markov", _spans(text, candidate, "markov"))
-    outside = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    candidate = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % p.min_length
+    found = docs.select(F.struct(*map(quoted, docs.columns)).alias("row")).select("row", F.array_sort(base).alias("base"), _spans(text, candidate, "markov").alias("markov"))
     bare = lambda s: F.regexp_replace(s["hit"], FILL, "$1$2")
     # a string of the least length that holds one such run by chance keeps three quarters of it
     random = lambda s: (F.length(bare(s)) * 4 >= p.min_length * 3) & (model.score(bare(s)) > model.threshold)
-    judged = F.when(F.size("markov") == 0, F.col("markov")).otherwise(F.filter("markov", lambda s: outside(s) & random(s)))
-    return found.withColumn("markov", judged)
+    return found.withColumn("markov", F.when(F.size("markov") == 0, F.col("markov")).otherwise(F.filter("markov", random)))
 
 
 def span_list(spans: Column) -> Column:
@@ -171,22 +183,22 @@ def secret_report(docs: DataFrame, model: MarkovModel, p: MarkovParams = MarkovP
     found = find_secrets(docs.select("doc_id", "text"), model, p)
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return found.select(
-        "doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+        "row.doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
         span_list(F.array_sort(F.concat("base", "markov"))).alias("spans"), F.size("markov").cast("long").alias("n_markov"),
     )
 
 
 def redact_secrets(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]", p: MarkovParams = MarkovParams()) -> DataFrame:
-    """The documents with every span's characters replaced by ``mark``; all columns kept, null texts stay null."""
+    """The documents with every span's characters replaced by ``mark``, overlapping spans by one; all columns kept, null texts stay null."""
     found = find_secrets(docs, model, p)
-    spans = F.array_sort(F.concat("base", "markov"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, spans = F.col("row.text"), F.array_sort(F.concat("base", "markov"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit(mark))).alias("out"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("base") + F.size("markov") == 0, F.col("text")).otherwise(clean))
-    return out.select(docs.columns)
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.when(F.size("base") + F.size("markov") == 0, text).otherwise(clean)
+    return found.select(*(changed.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

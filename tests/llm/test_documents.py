@@ -71,20 +71,66 @@ def test_quality_counts_and_base(docs, rows):
 
 
 def test_quality_sketch_merges(docs):
+    p = quality.QualityParams()
     m = quality.measure(docs).persist()
-    parts = [quality.sketch(m.where(c), 0.01) for c in ("doc_id % 2 = 0", "not coalesce(doc_id % 2 = 0, false)")]
+    parts = [quality.sketch(m.where(c), p) for c in ("doc_id % 2 = 0", "not coalesce(doc_id % 2 = 0, false)")]
     both = parts[0].unionByName(parts[1]).groupBy("lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
-    whole = quality.sketch(m, 0.01)
+    whole = quality.sketch(m, p)
     assert sorted(map(str, both.collect())) == sorted(map(str, whole.select(*both.columns).collect()))
-    # relative error of the sketch's median word length
-    q = quality.quantile_cutoffs(whole, [], quality.QualityParams(reach=0.0)).first()
-    assert q.n > 0 and q.hi_word_len > 2
 
 
-def test_quality_filter_and_empty(docs, none):
+def test_quality_cutoffs_are_quantiles_of_their_groups(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(1500):
+        lang, source = ("en", "de", None)[k % 3], ("a", "b")[k // 3 % 2] if k < 1380 else "rare"
+        n = rng.randint(100, 200)
+        scale = 1 + (k % 3) + 3 * (k // 3 % 2)  # the groups differ in every metric
+        words = ["".join(rng.choices("abcdef", k=rng.randint(2, 3 + scale))) for _ in range(n)]
+        for _ in range(rng.randint(0, 3 * scale)):
+            words[rng.randrange(n)] = "#" * scale
+        lines = [" ".join(words[i : i + 5]) for i in range(0, n, 5)]
+        lines += [lines[0]] * rng.randint(0, scale)
+        at = rng.randint(8, 8 + 2 * scale)
+        rows.append((k, "\n".join([*lines, " ".join(words[:at])]), lang, source))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.quality_verdicts(d).collect()
+    p = quality.QualityParams()
+    groups = {}
+    for r in got:
+        if not r.base_failed:
+            for key in ((r.lang, r.source), (r.lang,)):
+                groups.setdefault(key, []).append(r)
+    for m, (a, b, q) in quality.METRICS.items():
+        cutoffs = set()
+        for key, members in groups.items():
+            if len(members) < p.min_rows or len(key) < 2:
+                continue
+            values = sorted(r[a] / r[b] for r in members)
+            exact = values[int(np.ceil(q * len(values))) - 1]
+            hi = {r[f"hi_{m}"] for r in members}
+            assert len(hi) == 1
+            cutoffs |= hi
+            assert exact <= max(hi) <= exact * 1.0203
+        assert len(cutoffs) >= 4, m  # of six groups; none takes a constant
+    for r in got:  # rare groups are judged by their language
+        if r.source == "rare" and not r.base_failed:
+            want = sorted(x.word_chars / x.n_words for x in groups[r.lang,])
+            assert want[int(np.ceil(0.99 * len(want))) - 1] <= r.hi_word_len <= want[int(np.ceil(0.99 * len(want))) - 1] * 1.0203
+        within = all(r[a] / r[b] <= r[f"hi_{m}"] for m, (a, b, _) in quality.METRICS.items() if not r.base_failed)
+        assert r.kept == (not r.base_failed and within)
+
+
+def test_quality_filter_and_empty(spark, docs, none):
     kept = quality.quality_filter(docs)
-    assert kept.columns[0] == "doc_id" and set(kept.columns) == set(docs.columns)
-    assert quality.quality_verdicts(none).count() == 0
+    assert kept.columns == docs.columns
+    good = Counter(r.doc_id for r in quality.quality_verdicts(docs).where("kept").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == good
+    assert quality.quality_verdicts(none).count() == 0 and quality.quality_filter(none).count() == 0
+    prose = make_rows()[5][1]
+    odd = spark.createDataFrame([(None, prose, "en", "s", 1), (7, prose, None, None, 2), (7, "abc", "en", "s", 3), (7, None, "en", "s", 4)], "doc_id long, text string, lang string, source string, text_hash long")
+    out = quality.quality_filter(odd)
+    assert sorted((str(r.doc_id), r.text_hash) for r in out.collect()) == [("7", 2), ("None", 1)]
 
 
 def test_toxicity_learns_and_covers_all(spark, docs, none):
@@ -173,6 +219,51 @@ def test_markov_judges_letters_and_short_strings(spark, markov):
     assert all((clean[k] == "see [SECRET] there") == (found[k] == 1) for k in found)
 
 
+def test_markov_recall_and_false_alarms_in_prose(spark, markov):
+    """Planted strings of no base form in the test table's prose: what is found, and what else."""
+    rng = random.Random(21)
+    sets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 200 and 3000 and lang is not null").orderBy("doc_id").limit(400).collect()]
+    rows, at = [], {}
+    for k, t in enumerate(texts):
+        words = t.split(" ")
+        secret = "".join(rng.choices(sets[k % 3], k=rng.randint(20, 40)))
+        if re.search("[0-9a-f]{24}|AKIA", secret):
+            continue
+        words.insert(rng.randrange(len(words)), secret)
+        rows.append((k, " ".join(words)))
+        lo = rows[-1][1].index(secret)
+        at[k] = f"markov:{lo}:{lo + len(secret)}"
+    planted = secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string"), markov).collect()
+    assert sum(at[r.doc_id] in r.spans.split(",") for r in planted) >= 0.95 * len(rows)
+    # the same texts as they are: Markov spans meet base spans, or are at most one in a hundred candidates
+    plain = secret_scan.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), markov).collect()
+    false = candidates = 0
+    for r in plain:
+        spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+        base = [s for s in spans if s[0] != "markov"]
+        false += sum(s[0] == "markov" and not any(b[1] < s[2] and s[1] < b[2] for b in base) for s in spans)
+        candidates += len(re.findall("[A-Za-z0-9+/_-]{16,}", texts[r.doc_id]))
+    assert candidates > 50 and false <= 0.01 * candidates
+
+
+def test_very_many_spans(spark, markov):
+    text = "é token=abcdef12 0123456789abcdef01234567\n" * 3000
+    d = spark.createDataFrame([(1, text), (2, "AKIA" + "Q" * 16 + " ")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.secret_report(d, markov).collect()}
+    n, digest, _ = span_digest(text)
+    assert (got[1].n_assign, got[1].n_hex, got[1].base_sha256) == (n["assign"], n["hex"], digest) and n["hex"] == 3000
+    out = {r.doc_id: r.text for r in secret_scan.redact_secrets(d, markov).collect()}
+    assert out[1] == "é [SECRET] [SECRET]\n" * 3000
+
+
+def test_redaction_keeps_clashing_columns(spark, markov):
+    d = spark.createDataFrame([(1, "token=abcdef12 end", "MINE", 5, "r", 2.0), (None, None, None, None, None, None)], "doc_id long, text string, base string, markov int, row string, `my col` double")
+    out = secret_scan.redact_secrets(d, markov)
+    assert out.columns == d.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "[SECRET] end", "MINE", 5, "r", 2.0), (None,) * 6], key=str)
+
+
 def test_redaction_keeps_the_rest(docs, rows, markov):
     out = secret_scan.redact_secrets(docs, markov)
     assert out.columns == docs.columns

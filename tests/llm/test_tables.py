@@ -70,6 +70,10 @@ def brute_nearest(ids, x, query, k=5):
     return [i for _, i in sorted(best)[:k]]
 
 
+#: One part: for what must hold whatever the router does.
+ONE_PART = ann.AnnParams(least_parts=1)
+
+
 def test_nearest_small_is_exact(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
@@ -77,7 +81,7 @@ def test_nearest_small_is_exact(spark):
     rows = [(k, [float(c) for c in v], "clash", 1) for k, v in enumerate(x)]
     odd = [(1000, None, "", 0), (1050, [0.0] * 8, "", 0), (1100, [float("nan")] + [1.0] * 7, "", 0), (1150, [1.0] * 3, "", 0), (1200, [None] + [1.0] * 7, "", 0), (None, [1.0] * 8, "", 0), (1250, [float("inf")] + [1.0] * 7, "", 0), rows[7]]
     d = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, part string, v int")
-    got = ann.nearest(d, F.col("vec_id") % 50 == 0).collect()
+    got = ann.nearest(d, F.col("vec_id") % 50 == 0, ONE_PART).collect()
     ids = np.arange(300)
     for q in range(0, 300, 50):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
@@ -98,11 +102,11 @@ def test_nearest_counts_repeated_rows_once(spark):
     ids = np.arange(300)
     want = {q: list(enumerate(brute_nearest(ids, x.astype(float), q), 1)) for q in range(0, 300, 50)}
     for table in (rows + rows, rows + [rows[1]] * 6):
-        got = ann.nearest(spark.createDataFrame(table, schema), query).collect()
+        got = ann.nearest(spark.createDataFrame(table, schema), query, ONE_PART).collect()
         assert {q: sorted((r["rank"], r.vec_id) for r in got if r.query_id == q) for q in want} == want
     # ids with several vectors: each counts once, by its nearest one
     several = rows + [(k, [float(c) for c in x[150] + 0.01 * j]) for j in range(1, 9) for k in (20, 21)]
-    got = ann.nearest(spark.createDataFrame(several, schema), query).where("query_id = 150").orderBy("rank").collect()
+    got = ann.nearest(spark.createDataFrame(several, schema), query, ONE_PART).where("query_id = 150").orderBy("rank").collect()
     others = [i for i in brute_nearest(ids, x.astype(float), 150) if i not in (20, 21)]
     assert {r.vec_id for r in got[:2]} == {20, 21} and [r.vec_id for r in got[2:]] == others[:3]
 
@@ -121,6 +125,33 @@ def test_nearest_recall_over_parts(spark):
     assert hits / (5 * 120) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_on_the_test_table(spark, sf):
+    d = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = d.where("vec_id is not null and embedding is not null").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in ann.nearest(d, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    asked = ids[ids % 50 == 0].tolist()
+    assert sorted(got) == asked and all(len(g) == 5 for g in got.values())
+    assert sum(len(set(got[q]) & set(brute_nearest(ids, x, q))) for q in asked) / (5 * len(asked)) >= 0.9
+
+
+def test_vectors_of_several_dimensions(spark):
+    rng = np.random.default_rng(7)
+    vectors = {k: rng.normal(size=8 if k % 3 else 5) for k in range(400)}
+    vectors |= {1000: rng.normal(size=2), 1050: rng.normal(size=2) * 1e200, 1100: rng.normal(size=2) * 1e-200}
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(d, F.col("vec_id") % 50 == 0, ann.AnnParams(least_parts=1, index_block=40, query_block=3)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in [k for k in vectors if k % 50 == 0]:
+        same = [k for k in vectors if len(vectors[k]) == len(vectors[q])]
+        x = np.array([vectors[k] / np.abs(vectors[k]).max() for k in same])
+        assert got[q] == brute_nearest(np.array(same), x, q)
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 6))
