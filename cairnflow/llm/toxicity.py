@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
 1. Term statistics of labelled documents give a lexicon: whole words and word beginnings.
-2. Lexicon and pattern voters vote toxic, clean or abstain on each training document.
+   Labels serve for nothing else.
+2. Each term votes by its presence, and patterns of the text and of the terms' places in it
+   vote toxic, clean or abstain on each training document.
 3. A generative label model, fitted by EM without the labels, estimates each voter's
    accuracy and, as a tree over the voters, their correlations given the class.
 4. Its posteriors are the targets of a linear classifier over term hits, which scores every
-   document.
+   document; 0.5 is where the posterior leaves the matter open.
 
 The fit uses at most ``max_train_docs`` labelled documents (a documented bound, taken in
 hash order of doc_id); scoring covers all. Neither labels, lang, source nor doc_id enter a
@@ -14,7 +16,9 @@ score.
 Cases: null and empty texts score as a text without words; documents without labels are
 scored all the same; labels that are null or of unknown documents are ignored; with no
 usable training document, or those of one class only, every score is the rate of toxic
-labels (0.0 without any); repeated rows get a row each.
+labels (0.0 without any); repeated rows get a row each; extra columns of any name are
+ignored, or kept where ``keep`` names them: one called score or predicted makes the new
+column's name end in an underscore.
 """
 
 from __future__ import annotations
@@ -29,9 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, texts_of
+from .common import durable, fields, free_name, numbered, quoted, texts_of
 
 TOKENS = re.compile(r"[^\W_]+").findall
+SENTENCES = re.compile(r"[.!?\n]+")
+#: Runs of exclamation marks, and words in capitals one after another.
+SHOUT = re.compile(r"!{2,}|(?:\b[A-Z]{4,}\b[^\w\n]{1,3}){3,}")
+PATTERNS = ("close", "spread", "insistent", "shouting", "no term", "one in a long text")
 PREFIXES = (4, 5, 6, 7, 8)
 #: Share of a voter's entropy that another tells, from which it counts as a copy.
 COPY = 0.8
@@ -87,18 +95,46 @@ class Featurizer:
         hits = np.zeros(self.n, np.float32)
         tokens = TOKENS(text.lower())
         for w, n in Counter(tokens).items():
-            if (i := self.whole.get(w)) is not None:
+            for i in self.terms(w):
                 hits[i] += n
-            for k in self.sizes:
-                if len(w) < k:
-                    break
-                if (i := self.starts.get(w[:k])) is not None:
-                    hits[i] += n
         return hits, len(tokens)
 
+    def terms(self, word: str) -> Iterator[int]:
+        if (i := self.whole.get(word)) is not None:
+            yield i
+        for k in self.sizes:
+            if len(word) < k:
+                break
+            if (i := self.starts.get(word[:k])) is not None:
+                yield i
+
+    def pattern_votes(self, text: str) -> list[int]:
+        """The votes of PATTERNS: 1 toxic, -1 clean, 0 abstains."""
+        places, kinds, sentences = [], set(), 0
+        n = 0
+        for sentence in SENTENCES.split(text.lower()):
+            before = len(places)
+            for w in TOKENS(sentence):
+                if found := frozenset(self.terms(w)):
+                    places.append((n, w))
+                    kinds.add(w)
+                n += 1
+            sentences += len(places) > before
+        close = any(q - p <= 12 and u != w for (p, u), (q, w) in zip(places, places[1:]))
+        letters = sum(map(str.isalpha, text))
+        loud = letters >= 40 and sum(map(str.isupper, text)) > 0.4 * letters
+        return [
+            int(close),  # two words of the lexicon side by side
+            int(sentences >= 3),  # spread over the text
+            int(len(places) > len(kinds) > 0 and len(places) >= 3),  # insisting on a word
+            int(bool(SHOUT.search(text)) or loud),
+            -int(not places and n > 0),
+            -int(len(places) == 1 and n >= 200),  # a slip in a long text
+        ]
+
     def form(self, hits: np.ndarray, n: int) -> np.ndarray:
         total = float(hits.sum())
-        return np.array([min(n, 20_000) / 1000.0, np.log1p(n), total / max(n, 1) * 100, (hits > 0).sum(), np.log1p(total)], np.float32)
+        return np.array([n / (n + 1000.0), np.log1p(n), total / max(n, 1) * 100, (hits > 0).sum(), np.log1p(total)], np.float32)
 
     def row(self, text: str) -> np.ndarray:
         hits, n = self(text)
@@ -160,34 +196,14 @@ def choose_terms(scores: DataFrame, n_pos: int, n_neg: int, p: ToxicityParams) -
     return chosen
 
 
-def make_voters(hits: np.ndarray, lengths: np.ndarray, y: np.ndarray, p: ToxicityParams) -> tuple[list[dict], np.ndarray]:
-    """Voters over term hits and form, and their votes (1 toxic, -1 clean, 0 abstains)."""
-    voters, columns = [], []
-    rates = hits / np.maximum(lengths, 1)[:, None]
-    for j in range(min(hits.shape[1], p.max_voters)):
-        best = None
-        for cut in (0.0, 0.002, 0.005, 0.01, 0.02):
-            on = (hits[:, j] > 0) & (rates[:, j] >= cut)
-            if on.sum() and (gain := (y[on].mean() - y.mean()) * np.sqrt(on.sum())) > (best[0] if best else 0):
-                best = (gain, cut, on)
-        if best:
-            voters.append({"kind": "term", "term": j, "rate": best[1]})
-            columns.append(np.where(best[2], 1, 0))
-    total, kinds = hits.sum(1), (hits > 0).sum(1)
-    rate = total / np.maximum(lengths, 1)
-    for name, vote in {
-        "several terms": np.where(kinds >= 3, 1, 0),
-        "dense": np.where(rate >= 0.015, 1, 0),
-        "repeats": np.where(hits.max(1, initial=0) >= 3, 1, 0),
-        "no term": np.where(total == 0, -1, 0),
-        "long and sparse": np.where((rate < 0.002) & (total <= 2), -1, 0),
-    }.items():
-        voters.append({"kind": "pattern", "name": name})
-        columns.append(vote)
-    return voters, np.stack(columns, 1) if columns else np.zeros((len(y), 0), int)
-
-
-def label_model(votes: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarray, list[dict]]:
+def make_voters(hits: np.ndarray, patterns: np.ndarray, p: ToxicityParams) -> tuple[list[dict], np.ndarray]:
+    """Voters and their votes (1 toxic, -1 clean, 0 abstains): the first terms' presence, then the patterns."""
+    n = min(hits.shape[1], p.max_voters)
+    voters = [{"kind": "term", "term": j} for j in range(n)] + [{"kind": "pattern", "name": x} for x in PATTERNS]
+    return voters, np.hstack([(hits[:, :n] > 0).astype(int), patterns.astype(int)])
+
+
+def label_model(votes: np.ndarray, rounds: int) -> tuple[np.ndarray, list[dict]]:
     """Posterior of the toxic class for each row, by EM.
 
     First the voters count as independent given the class, but for near copies; then the
@@ -265,8 +281,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int) -> tuple[np.ndarra
     settle()
     if q[signal > 0].sum() < (1 - q)[signal > 0].sum() and (signal > 0).any():
         q = 1 - q  # the votes say which class is which
-    flat = [t if t.ndim == 2 else None for t in tables]
-    stats = [{"parent": parent[j], "accuracy": None if flat[j] is None else float(prior * flat[j][1, 2] + (1 - prior) * flat[j][0, 0])} for j in range(m)]
+    right = lambda j: float((q * (votes[:, j] == 1) + (1 - q) * (votes[:, j] == -1)).sum() / max((votes[:, j] != 0).sum(), 1))
+    stats = [{"parent": parent[j], "accuracy": right(j)} for j in range(m)]
     return q, stats
 
 
@@ -302,25 +318,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [featurize(t) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("toxic").cast(pa.int32()), pa.array([n for _, n in found], pa.int64()), pa.array([h.tobytes() for h, _ in found], pa.binary())], names=["doc_id", "toxic", "n", "hits"])
-
-    rows = train.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id string, toxic int, n long, hits binary").collect()  # at most max_train_docs
-    rows.sort(key=lambda r: (r.doc_id, r.n, bytes(r.hits)))
-    hits = np.stack([np.frombuffer(r.hits, np.float32) for r in rows])
-    lengths, y = np.array([r.n for r in rows]), np.array([r.toxic for r in rows])
-    voters, votes = make_voters(hits, lengths, y, p)
-    posterior, stats = label_model(votes, y.mean(), p.em_rounds)
+            found = [(*featurize(t), featurize.pattern_votes(t)) for t in texts_of(b)]
+            hits, patterns = (pa.array([np.asarray(f[k], kind).tobytes() for f in found], pa.binary()) for k, kind in ((0, np.float32), (2, np.int8)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), hits, patterns], names=["n", "hits", "patterns"])
+
+    rows = train.select("text").mapInArrow(run, "n long, hits binary, patterns binary").collect()  # at most max_train_docs
+    rows.sort(key=lambda r: (r.n, bytes(r.hits), bytes(r.patterns)))
+    hits, patterns = (np.stack([np.frombuffer(r[k], kind) for r in rows]) for k, kind in (("hits", np.float32), ("patterns", np.int8)))
+    lengths = np.array([r.n for r in rows])
+    voters, votes = make_voters(hits, patterns, p)
+    posterior, stats = label_model(votes, p.em_rounds)
     x = np.stack([np.concatenate([np.minimum(h, 12), np.minimum(h, 1), featurize.form(h, n)]) for h, n in zip(hits, lengths)]).astype(float)
     center, scale = x.mean(0), x.std(0) + 1e-3
     w, bias = fit_linear((x - center) / scale, posterior, p.ridge)
-    # the posterior's scale is the label model's own: the cut goes where the training labels agree best
-    z = (x - center) / scale @ w + bias
-    order = np.argsort(z, kind="stable")
-    right = np.concatenate([[0], np.cumsum(np.where(y[order] == 0, 1, -1))]) + y.sum()
-    at = int(np.argmax(right))
-    edges = np.concatenate([[z[order[0]] - 1], (z[order][1:] + z[order][:-1]) / 2, [z[order[-1]] + 1]])
-    return ToxicityModel(terms, w, bias - float(edges[at]), center, scale, [a | b for a, b in zip(voters, stats)], float(y.mean()))
+    return ToxicityModel(terms, w, bias, center, scale, [a | b for a, b in zip(voters, stats)], n_pos / (n_pos + n_neg))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -328,13 +339,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     featurize = Featurizer(model.terms)
     w, bias, center, scale = model.weights, model.bias, model.center, model.scale
     names = list(keep)
-    schema = docs.select(*names).schema.simpleString()[len("struct<") : -1]
+    made = [free_name(names, "score"), free_name(names, "predicted")]
+    read = list(dict.fromkeys([*names, "text"]))
+    at = read.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([featurize.row(t) for t in texts_of(b)]) if b.num_rows else np.zeros((0, len(w)))
+            x = np.array([featurize.row(t) for t in texts_of(b, at)]) if b.num_rows else np.zeros((0, len(w)))
             z = (x - center) / scale @ w + bias
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, *made])
+
+    return numbered(docs, read).mapInArrow(run, fields(docs, names, **{made[0]: "double", made[1]: "int"}))
+
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{schema}, score double, predicted int")
+def clean_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The documents that aren't predicted toxic, with their columns."""
+    scored = score_toxicity(docs, model, tuple(docs.columns))
+    return scored.where(quoted(scored.columns[-1]) == 0).select(*map(quoted, docs.columns))
