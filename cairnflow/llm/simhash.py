@@ -4,20 +4,22 @@ Fingerprints are 64-bit majority votes over hashed word shingles. Equal fingerpr
 class. Distinct fingerprints meet in buckets: with ``radius`` 2 and four 16-bit blocks, two
 blocks of linked fingerprints are equal, so the six pairs of blocks give every link. A
 bucket's fingerprints are compared as vertical bit planes: one XOR and a carry-save add per
-plane update the distances to 64 fingerprints per word, and a tile is abandoned once all its
-counters exceed the radius. A bucket above ``tile`` rows is cut into tiles and compared tile
+plane update the distances to 64 fingerprints per word. The planes that tell most come first,
+and a block of 64 by 64 is abandoned once all its counters exceed the radius. A bucket above ``tile`` rows is cut into tiles and compared tile
 by tile, so no task holds more than two; within a tile only a spanning forest of the links
 is emitted.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other; texts of
 fewer words than a shingle are one shingle; repeated rows and ids share a class; null ids
 get a class but can't name one (component null only if no id of the class is known); an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored, and kept by ``keep_one`` under
+any name.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fields, free_name, quoted
 from .components import connected_components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -62,14 +64,12 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, p: SimHashParams, name: str = "doc_id") -> DataFrame:
     """(the column ``name``, fp): fp is the fingerprint as a signed long."""
-    key = f"`{name}` {docs.schema[name].dataType.simpleString()}"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid and x.as_buffer() is not None else b"", p.shingle, p.seed) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column(name), pa.array(np.array(found, np.uint64).view(np.int64))], names=[name, "fp"])
 
-    return docs.select(name, "text").mapInArrow(run, f"{key}, fp long")
+    return docs.select(quoted(name), "text").mapInArrow(run, fields(docs, [name], fp="long"))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -81,36 +81,62 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within_radius(queries: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, member of block) at distance ``radius`` or less, by bit-sliced counters."""
+def within_radius(queries: np.ndarray, block: np.ndarray, radius: int, triangle: bool = False, seen: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, member of block) at distance ``radius`` or less, by bit-sliced counters.
+
+    With ``triangle`` both sides are one array, and only pairs i < j come out: each 64 queries
+    meet the words behind their own, and their own word apart from these. ``seen`` counts the
+    blocks of 64 by 64 and those abandoned.
+    """
     planes = bit_planes(block)
-    digits = (radius + 1).bit_length()  # counters stop being told apart above 2**digits - 1
-    ones = ~np.uint64(0)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    step = max(1, 262_144 // planes.shape[1])
-    for lo in range(0, len(queries), step):
-        q = queries[lo : lo + step]
-        counter = [np.zeros((len(q), planes.shape[1]), np.uint64) for _ in range(digits)]
-        over = np.zeros_like(counter[0])
-        live = True
-        for b in range(64):
-            carry = planes[b][None, :] ^ np.where(q >> np.uint64(b) & np.uint64(1), ones, np.uint64(0))[:, None]
-            for d in range(digits):  # carry-save: the digit keeps the sum, the carry moves up
-                up = counter[d] & carry
-                counter[d] ^= carry
-                carry = up
-            over |= carry
-            if b % 8 == 7 and (_exceeds(counter, over, radius) == ones).all():
-                live = False  # every distance of the tile is past the radius
-                break
-        if live:
-            near = ~_exceeds(counter, over, radius)
-            bits = np.unpackbits(near.view(np.uint8).reshape(len(q), -1), axis=1, bitorder="little")[:, : len(block)]
-            i, j = np.nonzero(bits)
-            pairs.append((i + lo, j))
-    if not pairs:
+    words, seen = planes.shape[1], Counter() if seen is None else seen
+    fill = np.zeros(words, np.uint64)  # lanes without a fingerprint count as past the radius
+    if len(block) % 64:
+        fill[-1] = ~np.uint64(0) << np.uint64(len(block) % 64)
+    ones = np.bitwise_count(planes).sum(1, dtype=np.int64)
+    bits = np.argsort(-np.minimum(ones, len(block) - ones), kind="stable")
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(queries), 64):
+        q = queries[lo : lo + 64]
+        own = lo // 64
+        for cols in (np.arange(own, own + 1), np.arange(own + 1, words)) if triangle else (np.arange(words),):
+            if not len(cols):
+                continue
+            seen["blocks"] += len(cols)
+            i, j = _compare(q, planes, bits, cols, fill, radius, seen)
+            if triangle and cols[0] == own:
+                i, j = i[lo + i < j], j[lo + i < j]
+            found.append((i + lo, j))
+    if not found:
         return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _compare(q: np.ndarray, planes: np.ndarray, bits: np.ndarray, cols: np.ndarray, fill: np.ndarray, radius: int, seen: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within the radius of up to 64 queries and the words ``cols``."""
+    digits = (radius + 1).bit_length()  # counters stop being told apart above 2**digits - 1
+    every = ~np.uint64(0)
+    over = np.repeat(fill[None, cols], len(q), 0)
+    counter = [np.zeros_like(over) for _ in range(digits)]
+    held = planes[:, cols]
+    for n, b in enumerate(bits.tolist()):
+        carry = held[b][None, :] ^ np.where(q >> np.uint64(b) & np.uint64(1), every, np.uint64(0))[:, None]
+        for d in range(digits):  # carry-save: the digit keeps the sum, the carry moves up
+            up = counter[d] & carry
+            counter[d] ^= carry
+            carry = up
+        over |= carry
+        if n % 8 == 7 and n < 63:
+            live = (_exceeds(counter, over, radius) != every).any(0)
+            if not live.all():  # every distance of the other blocks is past the radius
+                seen["abandoned"] += int((~live).sum())
+                if not live.any():
+                    return np.zeros(0, int), np.zeros(0, int)
+                cols, over, held = cols[live], over[:, live], held[:, live]
+                counter = [c[:, live] for c in counter]
+    near = np.ascontiguousarray(~_exceeds(counter, over, radius))
+    i, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(len(q), -1), axis=1, bitorder="little"))
+    return i, cols[lane // 64] * 64 + lane % 64
 
 
 def _exceeds(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -167,46 +193,46 @@ def near_links(classes: DataFrame, p: SimHashParams) -> DataFrame:
     sorted_rows = met.repartition("table", "key", "a", "b").sortWithinPartitions("table", "key", "a", "b")
 
     def links(left: np.ndarray, right: np.ndarray | None) -> pa.RecordBatch:
-        i, j = within_radius(left, left if right is None else right, p.radius)
-        nodes = left if right is None else np.concatenate([left, right])
-        if right is not None:
+        if right is None:
+            nodes = left
+            i, j = within_radius(left, left, p.radius, triangle=True)
+        else:
+            nodes = np.concatenate([left, right])
+            i, j = within_radius(left, right, p.radius)
             j = j + len(left)
-        keep = i < j
-        forest = _forest(i[keep], j[keep], len(nodes))
+        forest = _forest(i, j, len(nodes))
         u, v = (np.array([e[s] for e in forest], int) for s in (0, 1))
         signed = nodes.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(signed[u], pa.int64()), pa.array(signed[v], pa.int64())], names=["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[np.ndarray] = []  # whole small buckets, compared together: distances decide, not buckets
-        held, cell, sides = 0, None, ([], [])
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal pending, held
-            left, right = (np.array(s, np.int64).view(np.uint64) for s in sides)
-            if cell is not None and cell[2] != cell[3]:
-                if len(left) and len(right):
-                    yield links(left, right)
-            elif len(left) > 256:
-                yield links(left, None)
-            elif len(left):
-                pending.append(left)
-                held += len(left)
-                if held >= 512:
-                    yield links(np.unique(np.concatenate(pending)), None)
-                    pending, held = [], 0
-            sides[0].clear()
-            sides[1].clear()
+    def cells(rows: np.ndarray, right: np.ndarray, cuts: np.ndarray, cross: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The links of whole cells; ``cuts`` are their bounds. Small ones are compared together: distances decide, not buckets."""
+        fps = rows.view(np.uint64)
+        large = np.nonzero(cross | (np.diff(cuts) > 256))[0]
+        for lo, hi in zip([0, *(large + 1)], [*large, len(cross)]):
+            while lo < hi:
+                to = max(lo + 1, min(hi, int(np.searchsorted(cuts, cuts[lo] + 512, side="right")) - 1))
+                yield links(np.unique(fps[cuts[lo] : cuts[to]]), None)
+                lo = to
+            if hi < len(cross):
+                part, side = fps[cuts[hi] : cuts[hi + 1]], right[cuts[hi] : cuts[hi + 1]]
+                if not cross[hi]:
+                    yield links(part, None)
+                elif side.any() and not side.all():
+                    yield links(part[~side], part[side])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("fp", "table", "key", "a", "b", "right")
+        rest = [np.zeros(0, bool if c == "right" else np.int64) for c in names]  # the last cell, which may go on: two tiles at most
         for b in batches:
-            for fp, t, k, x, y, r in zip(*(b.column(c).to_pylist() for c in ("fp", "table", "key", "a", "b", "right"))):
-                if (t, k, x, y) != cell:
-                    yield from close()
-                    cell = (t, k, x, y)
-                sides[int(r)].append(fp)
-        yield from close()
-        if pending:
-            yield links(np.unique(np.concatenate(pending)), None)
+            rest = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, names)]
+            new = np.any([c[1:] != c[:-1] for c in rest[1:5]], axis=0)
+            starts = np.r_[0, np.nonzero(new)[0] + 1]
+            if len(starts) > 1:
+                yield from cells(rest[0][: starts[-1]], rest[5], starts, (rest[3] != rest[4])[starts[:-1]])
+                rest = [c[starts[-1] :] for c in rest]
+        if len(rest[0]):
+            yield from cells(rest[0], rest[5], np.array([0, len(rest[0])]), np.array([rest[3][0] != rest[4][0]]))
 
     return sorted_rows.mapInArrow(run, "u long, v long")
 
@@ -236,9 +262,10 @@ def keep_one(docs: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     of none, the hashes of the texts decide, and among repeated rows any one.
     """
     hashes = (F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))).alias(f"h{k}") for k in range(2))
-    keyed = docs.withColumn("row key", F.struct("doc_id", *hashes))
-    key, without = F.col("row key"), F.col("row key.doc_id").isNull()
-    named = _named(fingerprints(keyed, p, "row key"), p, known=F.when(~without, key), unknown=F.when(without, key))
+    name = free_name(docs.columns, "row key")
+    keyed = docs.withColumn(name, F.struct("doc_id", *hashes))
+    key, without = quoted(name), quoted(name)["doc_id"].isNull()
+    named = _named(fingerprints(keyed, p, name), p, known=F.when(~without, key), unknown=F.when(without, key))
     best = named.groupBy("component").agg(F.array(F.min("known"), F.min("unknown")).alias("keys"))
-    best = best.select(F.explode(F.array_compact("keys")).alias("row key"))
-    return keyed.join(best, "row key", "left_semi").dropDuplicates(["row key"]).select(docs.columns)
+    best = best.select(F.explode(F.array_compact("keys")).alias(name))
+    return keyed.join(best, name, "left_semi").dropDuplicates([name]).select(*map(quoted, docs.columns))
