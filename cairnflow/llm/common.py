@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from ..plans.iterate import durable, shared_dir
 
-__all__ = ["ascii_lower", "durable", "fields", "free_name", "literal_doubles", "n_words", "quoted", "shared_dir", "table", "texts_of"]
+__all__ = ["ascii_lower", "durable", "fields", "free_name", "literal_doubles", "n_words", "numbered", "quoted", "remove", "shared_dir", "table", "texts_of"]
 
 #: A word of every contract here: a run of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -41,10 +41,22 @@ def fields(df: DataFrame, names: Iterable[str], **more: str) -> StructType:
     """The schema of ``names`` of ``df`` and then of ``more`` (name to type)."""
     out = StructType([df.schema[n] for n in names])
     for name, kind in more.items():
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out
 
 
+def numbered(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The columns ``names`` as c0, c1, ...: an Arrow kernel can't be handed names with dots."""
+    picked = [quoted(n).alias(f"c{k}") for k, n in enumerate(names)]
+    return df.select(*picked)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system that this package wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -55,7 +67,7 @@ def n_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RE, -1))).cast("long")
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
+def texts_of(batch: pa.RecordBatch, name: str | int = "text") -> Iterator[str]:
     """The texts of an Arrow batch one at a time, null as empty, never as one list of all."""
     for value in batch.column(name):
         yield value.as_py() or ""

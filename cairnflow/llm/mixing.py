@@ -14,7 +14,7 @@ bucket's own rows meet in a task, so a source that holds a third of the corpus i
 Cases: null, empty and blank texts have size 0 and are taken for 0 words; null sources are
 one source, last in order; null ids hash as an empty id; repeated rows are documents of
 their own; a corpus without words takes nothing; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored, and kept by ``mixed_documents`` under any name.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import durable, n_words
+from .common import durable, n_words, quoted
 
 
 @dataclass(frozen=True)
@@ -103,8 +103,11 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
     A document on which a source's target ends is given whole in that pass.
     """
-    twins = W.partitionBy("doc_id").orderBy("size", "source")  # rows that share an id are told apart by their order
-    plan = mix(docs, p).withColumn("twin", F.row_number().over(twins)).where("taken > 0").select(F.col("doc_id").alias("m_id"), F.col("twin").alias("m_twin"), "positions")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("twin", F.row_number().over(twins))
-    met = rows.join(plan, rows.doc_id.eqNullSafe(plan.m_id) & (rows.twin == plan.m_twin))
-    return met.select("row", F.explode("positions").alias("position")).sort("position").select("row.*")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    key = ["doc_id", "source", "size", "text_hash"]
+    twins = W.partitionBy(*key).orderBy(key[0])  # repeated rows, any of which may take another's place
+    plan = mix(rows, p, ("text_hash",)).withColumn("twin", F.row_number().over(twins)).where("taken > 0")
+    plan = plan.select(*(F.col(c).alias(f"m_{c}") for c in (*key, "twin")), "positions")
+    rows = rows.withColumn("size", n_words(F.col("text"))).withColumn("twin", F.row_number().over(twins))
+    same = rows.doc_id.eqNullSafe(plan.m_doc_id) & rows.source.eqNullSafe(plan.m_source) & (rows.text_hash == plan.m_text_hash) & (rows["size"] == plan.m_size) & (rows.twin == plan.m_twin)
+    return rows.join(plan, same).select("row", F.explode("positions").alias("position")).sort("position", "row.doc_id").select("row.*")

@@ -33,7 +33,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fields, free_name, quoted
+from .common import fields, free_name, numbered
 
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date")
 #: In the order they are tried at a position.
@@ -345,4 +345,4 @@ def pseudonymize(docs: DataFrame, p: PiiParams, columns: tuple[str, ...] | None
             arrays += [pa.array([c.get(k, 0) for c in counts], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([sum(c.values()) for c in counts], pa.int64())], names=[*names, *numbers])
 
-    return docs.select(*map(quoted, names)).mapInArrow(run, fields(docs, names, **dict.fromkeys(numbers, "long")))
+    return numbered(docs, names).mapInArrow(run, fields(docs, names, **dict.fromkeys(numbers, "long")))

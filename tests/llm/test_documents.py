@@ -162,13 +162,31 @@ def test_toxicity_learns_and_covers_all(spark, docs, none):
     assert {r.predicted for r in toxicity.score_toxicity(docs, blank).collect()} == {0}
 
 
+def test_toxicity_patterns_read_the_text():
+    f = toxicity.Featurizer(["nasty*", "vile"])
+    votes = lambda t: dict(zip(toxicity.PATTERNS, f.pattern_votes(t)))
+    assert votes("you nastything and vile one")["close"] == 1 and votes("nasty " + "word " * 40 + "vile")["close"] == 0
+    assert votes("a vile one. So vile! Vile it is.")["spread"] == 1 and votes("vile vile vile")["insistent"] == 1
+    assert votes("STOP THAT NOISE HERE, NOW")["shouting"] == 1 and votes("what!!")["shouting"] == 1 and votes("Fine. OK!")["shouting"] == 0
+    assert votes("all fine")["no term"] == -1 and votes("")["no term"] == 0 and votes("vile " + "word " * 300)["one in a long text"] == -1
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    model = toxicity.ToxicityModel([], np.zeros(5), -1.0, np.zeros(5), np.ones(5))
+    d = spark.createDataFrame([(1, "a", 0.5, 9, "x", None), (None, None, None, None, None, [1])], "doc_id long, text string, score double, Predicted int, `my col` string, `a.b` array<int>")
+    out = toxicity.clean_documents(d, model)
+    assert out.columns == d.columns and sorted(map(str, out.collect())) == sorted(map(str, d.collect()))
+    assert toxicity.score_toxicity(d, model, ("doc_id", "score")).columns == ["doc_id", "score", "score_", "predicted"]
+
+
 def test_label_model_finds_accuracies_without_labels():
     rng = np.random.default_rng(0)
     y = rng.random(3000) < 0.3
     votes = np.stack([np.where(rng.random(3000) < a, np.where(y, 1, -1), np.where(y, -1, 1)) for a in (0.9, 0.8, 0.75, 0.7)], 1)
     votes = np.hstack([votes, votes[:, 1:2]])  # a copy: fully correlated with the second
-    q, stats = toxicity.label_model(votes, 0.3, 15)
+    q, stats = toxicity.label_model(votes, 15)
     assert ((q > 0.5) == y).mean() > 0.88
+    assert all(abs(s["accuracy"] - a) < 0.05 for s, a in zip(stats, (0.9, 0.8, 0.75, 0.7)))
     tree = [s["parent"] for s in stats]
     assert tree[4] == 1 or tree[1] == 4
 
@@ -314,6 +332,24 @@ def test_bit_sliced_distances():
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(full))))
 
 
+def test_blocks_are_abandoned():
+    rng = np.random.default_rng(5)
+    top = np.uint64(int(rng.integers(1 << 31)) << 32)  # as in a bucket: half of the bits are shared
+    a = np.unique(top | rng.integers(0, 1 << 32, 3000, dtype=np.uint64))
+    a = np.unique(np.concatenate([a, a[:40] ^ np.uint64(5)]))
+    seen = Counter()
+    i, j = simhash.within_radius(a, a, 2, triangle=True, seen=seen)
+    full = np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 2, 1)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(full))))
+    assert seen["abandoned"] > 0.8 * seen["blocks"] > 900
+
+
+def test_long_text_goes_by_in_pieces():
+    rng = random.Random(3)
+    text = " ".join(rng.choices(["Ab", "cd", "EF", "gh", "é"], k=140_000))
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
 def test_simhash_hot_bucket_and_chain(spark):
     rng = np.random.default_rng(4)
     top = int(rng.integers(1 << 30)) << 32  # all share two blocks
@@ -601,6 +637,16 @@ def test_curriculum_inverse(spark):
         assert all(abs(r.t - r.u) < 1e-6 for r in d.select("t", mixing.inverse_curriculum(F.col("y"), F.lit(a)).alias("u")).collect())
 
 
+def test_mixed_documents_with_shared_ids_and_clashing_columns(spark):
+    rows = [(7, "a b c", "s", 1, "p", k) for k in range(3)] + [(7, "d e f", "s", 1, "p", 9), (None, "g h i", None, 2, "q", 4), (None, "g h j", None, 2, "q", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, positions string, `my col` int")
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns
+    got = Counter(map(tuple, out.collect()))
+    assert got == Counter(map(tuple, mixing.mixed_documents(d.repartition(3)).collect())) or len({r[:2] for r in got}) == len({r[:2] for r in rows})
+    assert set(got) <= set(rows) and sum(got.values()) >= 9
+
+
 def test_mixed_documents(docs, none):
     plan = mixing.mix(docs).where("taken > 0").agg(F.sum(F.size("positions")).alias("n")).first().n
     out = mixing.mixed_documents(docs)

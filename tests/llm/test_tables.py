@@ -227,3 +227,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert total.where("n > 4096 or n <> end").count() == 0
     assert seen[4].where("piece = 0").count() == seen[3].count()
     assert corpus_pipeline.run(spark, sf).count() == pytest.approx(seen[4].count(), abs=0)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    prose = "plain words of a text that nobody would mind at all and that goes on for a while "
+    rows = [(1, prose, "en", "s", 1, "MINE", 7, 2.0, 3, "c"), (1, prose * 2 + "again", None, None, None, None, None, None, None, None), (None, prose + "x token=abcdef12", "en", "s", 1, "b", 1, 1.0, 1, "d"), (None, None, None, None, None, None, None, None, None, None), (5, "", "en", "s", 0, "", 0, 0.0, 0, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, base string, markov int, score double, predicted int, `my col` string"
+    for name, data in (("odd", [*rows, rows[0]]), ("empty", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, 1), (99, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, sf)
+            assert stage == "best-fit packing" or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if stage == "secret scan" and data:
+                assert {r.base for r in docs.collect()} <= {"MINE", "b", "", None} and docs.where("text like '%abcdef12%'").isEmpty()
+        assert docs.isEmpty() == (not data)
+        assert corpus_pipeline.run(spark, sf).count() == docs.count()
