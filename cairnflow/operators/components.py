@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..plans.iterate import connected_components, durable
 from .directions import D8
 from .grid import shapes
-from .stencil import neighbourhood
+from .stencil import neighbour, neighbourhood
 
 
 def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[str, ...] = ()) -> DataFrame:
@@ -23,7 +23,7 @@ def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[st
     half = [d for d in D8.neighbours() if (d.di, d.dj) > (0, 0)]  # each pair once
     links = []
     for d in half:
-        n = F.col(f"nb_{d.ord}")
+        n = neighbour(d)
         ok = n["_in"] if joined is None else n["_in"] & joined(n)
         links.append(F.when(ok, n["cid"]))
     # one connected_components run serves all grids: the grid's number goes above the cell id's bits

@@ -14,7 +14,7 @@ from ..plans.iterate import descend, durable
 from .components import component_of
 from .directions import D8, D8Directions
 from .grid import shapes, with_ids
-from .stencil import any_neighbour, lowest, neighbourhood
+from .stencil import any_neighbour, neighbour, neighbourhood, with_lowest
 
 
 def simple_d8(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:
@@ -23,8 +23,7 @@ def simple_d8(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:
     Elevations are compared in 32 bits. Invalid cells have the no-flow code and no ``ds``.
     """
     work = cells.withColumn("_z", F.col("z").cast("float"))
-    near = neighbourhood(work, ["_z", "valid"])
-    best = near.withColumn("_b", lowest(F.col("_z"), F.col("valid"), "_z", "valid", scheme))
+    best = with_lowest(work, "_z", F.col("valid"), scheme)
     code = F.coalesce("_b.code", F.lit(scheme.no_flow_code).cast("smallint"))
     return best.select(*cells.columns, code.alias("code"), F.col("_b.cid").alias("ds"), (F.col("valid") & F.col("_b.cid").isNull()).alias("is_flat"))
 
@@ -58,7 +57,7 @@ def layers(labelled: DataFrame, seeds: Column, name: str, max_rounds: int = 100_
     steps = 0
     while steps < max_rounds:
         near = neighbourhood(flats, ["_d", "label"])
-        from_ = F.least(*(F.when(F.col(f"nb_{d.ord}")["label"] == F.col("label"), F.col(f"nb_{d.ord}")["_d"]) for d in D8.neighbours()))
+        from_ = F.least(*(F.when(neighbour(d)["label"] == F.col("label"), neighbour(d)["_d"]) for d in D8.neighbours()))
         grown = near.withColumn("_n", F.coalesce("_d", from_ + 1)).withColumn("_new", F.col("_d").isNull() & F.col("_n").isNotNull())
         flats = durable(grown.select(*labelled.columns, F.col("_n").alias("_d"), "_new"))
         fresh = flats.where("_new").limit(1).count()
@@ -66,6 +65,8 @@ def layers(labelled: DataFrame, seeds: Column, name: str, max_rounds: int = 100_
         steps += 1
         if not fresh:
             break
+    else:
+        raise RuntimeError(f"a flat is deeper than {max_rounds} layers")
     reached = flats.select("grid_id", "cid", F.col("_d").alias(name))
     return labelled.join(reached, ["grid_id", "cid"], "left").withColumn(name, F.coalesce(name, F.lit(0))).select(*labelled.columns, name)
 
@@ -130,18 +131,15 @@ def complete_d8(cells: DataFrame, step_size: int = 4, scheme: D8Directions = D8)
     flow = durable(simple_d8(cells, scheme))
     synthetic = flat_gradients(durable(flat_labels(durable(flat_edges(flow)))))
     work = durable(synthetic.withColumn("z_syn", F.col("push") + step_size * F.col("pull")))
-    near = neighbourhood(work, ["z_syn", "valid", "label"])
-    best = lowest(F.col("z_syn"), F.col("valid") & (F.col("label") > 0), "z_syn", "valid", scheme, ("label", F.col("label")))
+    merged = with_lowest(work, "z_syn", F.col("valid") & (F.col("label") > 0), scheme, "label")
     use = F.col("valid") & F.col("ds").isNull() & F.col("_b.cid").isNotNull()
-    merged = near.withColumn("_b", best)
     return merged.select(*cells.columns, F.when(use, F.col("_b.code")).otherwise(F.col("code")).alias("code"), F.when(use, F.col("_b.cid")).otherwise(F.col("ds")).alias("ds"), "is_flat", "label", "z_syn")
 
 
 def synthetic_d8(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:
     """Directions on (z_syn, label) alone: the lowest z_syn within the label."""
-    near = neighbourhood(cells, ["z_syn", "valid", "label"])
-    best = lowest(F.col("z_syn"), F.col("valid") & (F.col("label") > 0), "z_syn", "valid", scheme, ("label", F.col("label")))
-    return near.withColumn("_b", best).select(*cells.columns, F.coalesce("_b.code", F.lit(scheme.no_flow_code).cast("smallint")).alias("code"), F.col("_b.cid").alias("ds"))
+    best = with_lowest(cells, "z_syn", F.col("valid") & (F.col("label") > 0), scheme, "label")
+    return best.select(*cells.columns, F.coalesce("_b.code", F.lit(scheme.no_flow_code).cast("smallint")).alias("code"), F.col("_b.cid").alias("ds"))
 
 
 def flow_from_codes(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:

@@ -297,5 +297,8 @@ class FlowGraph:
         return topology_violations(self.arcs)
 
     def to_lines(self, limit: int = 10_000) -> list[tuple[int, list[tuple[float, float]]]]:
-        """(order, points) of up to ``limit`` arcs, for plotting."""
-        return [(r.ord, [(p.i, p.j) for p in r.path]) for r in self.arcs.limit(limit).collect()]
+        """(order, points) of all arcs, for plotting; an error if there are more than ``limit``."""
+        rows = self.arcs.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"more than {limit} arcs: choose some of them, or raise the limit")
+        return [(r.ord, [(p.i, p.j) for p in r.path]) for r in rows]

@@ -9,7 +9,7 @@ from ..plans.iterate import durable
 from . import metrics
 from .directions import D8, D8Directions
 from .flow import complete_d8, fill_depressions
-from .stencil import neighbourhood
+from .stencil import neighbour, neighbourhood
 
 KEY = ["grid_id"]
 
@@ -35,7 +35,7 @@ def dist2conf_max(flow: DataFrame, coordinates: bool = False) -> DataFrame:
         k += 1
     half = [d for d in D8.neighbours() if (d.di, d.dj) > (0, 0)]
     near = neighbourhood(flow.select("grid_id", "i", "j", "cid", "valid"), ["valid"]).where("valid")
-    others = F.array_compact(F.array(*(F.when(F.col(f"nb_{d.ord}")["valid"], F.col(f"nb_{d.ord}")["cid"]) for d in half)))
+    others = F.array_compact(F.array(*(F.when(neighbour(d)["valid"], neighbour(d)["cid"]) for d in half)))
     pairs = near.select("grid_id", F.col("cid").alias("a"), F.explode(others).alias("b"))
     info = lambda c: depth.select("grid_id", F.col("cid").alias(c), F.col("root").alias(f"root_{c}"), F.col("hops").alias(f"hops_{c}"), F.col("dist").alias(f"dist_{c}"))
     pairs = durable(pairs.join(info("a"), ["grid_id", "a"]).join(info("b"), ["grid_id", "b"]))

@@ -17,8 +17,13 @@ from .directions import D8, D8Directions, Direction
 from .grid import at
 
 
+def neighbour(d: Direction) -> Column:
+    """The struct that ``neighbourhood`` adds for the cell at the direction's offset, whatever the scheme's order."""
+    return F.col(f"nb_{d.di + 1}{d.dj + 1}")
+
+
 def neighbourhood(cells: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Add ``nb_<ord>``: a struct of ``values`` (and i, j, cid) for each 3 x 3 neighbour, null outside the raster."""
+    """Add a struct of ``values`` (and i, j, cid) for each 3 x 3 neighbour, null outside the raster: see ``neighbour``."""
     me = F.struct("i", "j", "cid", *values)
     row = W.partitionBy("grid_id", "i").orderBy("j")
     side = lambda f, step: F.when(f("j").over(row) == F.col("j") + step, f(me).over(row))
@@ -30,7 +35,7 @@ def neighbourhood(cells: DataFrame, values: Sequence[str]) -> DataFrame:
     of = {-1: "_w", 0: "_me", 1: "_e"}
     source = lambda d: F.col(of[d.dj]) if d.di == 0 else F.col("_up" if d.di < 0 else "_down")[of[d.dj]]
     # a diagonal needs its row neighbour's row, which a hole in the row hides: triples exist for present cells only
-    return both.select(*cells.columns, *(source(d).alias(f"nb_{d.ord}") for d in D8.neighbours()))
+    return both.select(*cells.columns, *(source(d).alias(f"nb_{d.di + 1}{d.dj + 1}") for d in D8.neighbours()))
 
 
 def lowest(z: Column, usable: Column, field: str = "z", ok: str = "valid", scheme: D8Directions = D8, same: tuple[str, Column] | None = None) -> Column:
@@ -41,17 +46,35 @@ def lowest(z: Column, usable: Column, field: str = "z", ok: str = "valid", schem
     own = F.struct(z.alias("z"), F.lit(0).alias("ord"), F.lit(scheme.no_flow_code).cast("smallint").alias("code"), F.lit(None).cast("long").alias("cid"))
     found = [own]
     for d in scheme.neighbours():
-        n = F.col(f"nb_{d.ord}")
+        n = neighbour(d)
         good = n[ok] if same is None else n[ok] & (n[same[0]] == same[1])
         found.append(F.when(good, F.struct(n[field].alias("z"), F.lit(d.ord).alias("ord"), F.lit(d.code).cast("smallint").alias("code"), n["cid"].alias("cid"))))
     return F.when(usable, F.least(*found))
 
 
+def with_lowest(cells: DataFrame, field: str, usable: Column, scheme: D8Directions = D8, same: str | None = None) -> DataFrame:
+    """Add ``_b``: as ``lowest`` of ``field`` over valid neighbours (with an equal ``same``), for a window of any size.
+
+    Wider windows than 3 x 3 can't be read off two windows of lines: their cells send values.
+    """
+    more = [same] if same else []
+    if scheme.window == 3:
+        near = neighbourhood(cells, [field, "valid", *more])
+        return near.withColumn("_b", lowest(F.col(field), usable, field, "valid", scheme, (same, F.col(same)) if same else None)).select(*cells.columns, "_b")
+    sent = push(cells.where("valid"), scheme, [field, "cid", *more]).withColumnRenamed("cid", "_cid")
+    if same:
+        own = cells.select("grid_id", "i", "j", F.col(same).alias("_own"))
+        sent = sent.join(own, ["grid_id", "i", "j"]).where(F.col(same) == F.col("_own"))
+    best = sent.groupBy("grid_id", "i", "j").agg(F.min(F.struct(F.col(field).alias("z"), "ord", "code", F.col("_cid").alias("cid"))).alias("_b"))
+    lower = F.when(usable & (F.col("_b.z") < F.col(field)), F.col("_b"))
+    return cells.join(best, ["grid_id", "i", "j"], "left").select(*cells.columns, lower.alias("_b"))
+
+
 def any_neighbour(test, dirs: Sequence[Direction] = D8.neighbours()) -> Column:
     """Whether ``test`` of any neighbour struct holds."""
     out = F.lit(False)
     for d in dirs:
-        out = out | F.coalesce(test(F.col(f"nb_{d.ord}")), F.lit(False))
+        out = out | F.coalesce(test(neighbour(d)), F.lit(False))
     return out
 
 

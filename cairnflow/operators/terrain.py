@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from ..plans.iterate import durable
 from .directions import D8, D8Directions
 from .grid import shapes
-from .stencil import any_neighbour, neighbourhood
+from .stencil import any_neighbour, neighbour, neighbourhood
 
 
 def _gradient(value: Column, over, step: Column | float | None, position: Column | None) -> Column:
@@ -93,7 +93,7 @@ def isolation(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
         near = neighbourhood(known, ["z", "valid"])
         hits = []
         for d in D8.neighbours():
-            n = F.col(f"nb_{d.ord}")
+            n = neighbour(d)
             dist2 = F.lit((d.di * dy) ** 2 + (d.dj * dx) ** 2)
             hits.append(F.when(n["valid"] & (n["z"] > F.col("z")), F.struct(dist2.alias("d2"), n["cid"].alias("cid"), n["i"].alias("i"), n["j"].alias("j"))))
         found = durable(near.where("valid").select("grid_id", "i", "j", "cid", "z", F.least(*hits).alias("hit")))
@@ -245,7 +245,7 @@ def float32_merges(cells: DataFrame) -> int:
 def fill_pits(cells: DataFrame) -> DataFrame:
     """Raise every cell that is below all its neighbours to the lowest of them; adds ``is_pit``."""
     near = neighbourhood(cells, ["z", "valid"])
-    low = F.least(*(F.when(F.col(f"nb_{d.ord}")["valid"], F.col(f"nb_{d.ord}")["z"]) for d in D8.neighbours()), F.lit(None).cast("double"))
+    low = F.least(*(F.when(neighbour(d)["valid"], neighbour(d)["z"]) for d in D8.neighbours()), F.lit(None).cast("double"))
     pit = F.col("valid") & F.coalesce(F.col("z") < low, F.lit(False))
     return near.withColumn("is_pit", pit).withColumn("z", F.when(pit, low).otherwise(F.col("z"))).select(*cells.columns, "is_pit")
 
@@ -261,7 +261,7 @@ def find_flat(cells: DataFrame, only_min: bool = True) -> DataFrame:
 def find_ambiguous(cells: DataFrame) -> DataFrame:
     """Add ``ambiguous``: more than one neighbour at the minimum, which is below the cell."""
     near = neighbourhood(cells, ["z", "valid"])
-    zs = [F.when(F.col(f"nb_{d.ord}")["valid"], F.col(f"nb_{d.ord}")["z"]) for d in D8.neighbours()]
+    zs = [F.when(neighbour(d)["valid"], neighbour(d)["z"]) for d in D8.neighbours()]
     low = F.least(*zs)
     at_low = sum((F.coalesce((x == low).cast("int"), F.lit(0)) for x in zs), F.lit(0))
     return near.withColumn("ambiguous", F.col("valid") & F.coalesce((at_low > 1) & (low < F.col("z")), F.lit(False))).select(*cells.columns, "ambiguous")

@@ -52,6 +52,9 @@ def descend(tree: DataFrame, key: Sequence[str], step: Column, max_rounds: int =
             nodes = now.count()
         if left == before and 2 ** (_ + 1) > nodes:
             break  # only cycles remain
+    else:
+        if left:
+            raise RuntimeError(f"paths of more than 2**{max_rounds} steps")
     return now.select(*k, "cid", "root", F.when(F.col("root").isNotNull(), F.col("hops")).alias("hops"), F.when(F.col("root").isNotNull(), F.col("dist")).alias("dist"))
 
 

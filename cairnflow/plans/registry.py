@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from ..functions import colour as colours
 from ..functions import geometry as geo
 from ..operators import components, flow, grid, mesh, metrics, network, ridges, stencil, terrain
-from ..operators.directions import D8
+from ..operators.directions import D8, D8Directions
 from ..session import ship
 from .iterate import durable
 
@@ -131,6 +131,23 @@ def gaussian_smooth(spark, sf_dir):
     return grid.gaussian_filter(raster(spark, sf_dir), 1.0).select("i", "j", F.round("z", 3).alias("z"))
 
 
+def _scheme(name: str, scheme: D8Directions) -> None:
+    """Register the simple directions of a scheme: of strictly lower neighbours the lowest, ties in the scheme's order."""
+
+    def run(spark, sf_dir):
+        out = flow.simple_d8(raster(spark, sf_dir, 40), scheme)
+        return out.select("i", "j", F.col("code").cast("int").alias("code"), F.col("ds").isNull().alias("is_flat"))
+
+    dirs = "d(ord, di, dj, code) AS (VALUES " + ", ".join(f"({d.ord}, {d.di}, {d.dj}, {d.code})" for d in scheme.neighbours()) + ")"
+    run.__name__ = name
+    query(f"""WITH {_cells_sql(40)}, {dirs}, n AS (SELECT c.i, c.j, c.z, d.ord, d.code, b.z AS bz FROM c CROSS JOIN d JOIN c AS b ON b.i = c.i + d.di AND b.j = c.j + d.dj),
+    m AS (SELECT i, j, ARG_MIN(code, bz * 64 + ord) AS code FROM n WHERE bz < z GROUP BY i, j) SELECT c.i, c.j, COALESCE(m.code, 0) AS code, m.code IS NULL AS is_flat FROM c LEFT JOIN m ON m.i = c.i AND m.j = c.j""")(run)
+
+
+_scheme("d8_scan_order", D8Directions(sort_by_distance=False))
+_scheme("d8_window_5", D8Directions(window=5, transform_codes=int))
+
+
 @query(f"WITH {CELLS}, {DIRS} SELECT c.i, c.j, d.ord, d.code, COALESCE(b.z, -99.0) AS value FROM c CROSS JOIN d LEFT JOIN c AS b ON b.i = c.i + d.di AND b.j = c.j + d.dj")
 def neighbour_values(spark, sf_dir):
     return stencil.neighbour_values(raster(spark, sf_dir), pad=-99.0).select("i", "j", "ord", F.col("code").cast("int").alias("code"), "value")
@@ -299,9 +316,14 @@ def strahler(spark, sf_dir):
     return metrics.strahler(flow_table(spark, sf_dir)).select("i", "j", "ord")
 
 
-@query(f"WITH {CELLS} SELECT i, j, TRUE AS acyclic, FALSE AS cyclic FROM c")
+#: Cells that reach themselves, in a field whose directions follow the last three bits of the elevation
+@query(f"""WITH RECURSIVE {CELLS}, {DIRS}, f AS MATERIALIZED (SELECT c.i, c.j, b.i AS ti, b.j AS tj FROM c JOIN d ON d.ord = 1 + (((CAST(c.z AS BIGINT) % 8) + 8) % 8) LEFT JOIN c AS b ON b.i = c.i + d.di AND b.j = c.j + d.dj),
+    r AS (SELECT i, j, ti, tj FROM f WHERE ti IS NOT NULL UNION SELECT r.i, r.j, f.ti, f.tj FROM r JOIN f ON f.i = r.ti AND f.j = r.tj WHERE f.ti IS NOT NULL)
+    SELECT f.i, f.j, r.i IS NULL AS acyclic, r.i IS NOT NULL AS cyclic FROM f LEFT JOIN r ON r.i = f.i AND r.j = f.j AND r.ti = f.i AND r.tj = f.j""")
 def acyclic(spark, sf_dir):
-    return flow.acyclic(flow_table(spark, sf_dir)).select("i", "j", "acyclic", "cyclic")
+    codes = F.array(*(F.lit(d.code).cast("smallint") for d in D8.neighbours()))
+    cells = raster(spark, sf_dir).withColumn("code", F.get(codes, F.pmod(F.col("z").cast("long"), F.lit(8)).cast("int")))
+    return flow.acyclic(durable(flow.flow_from_codes(cells))).select("i", "j", "acyclic", "cyclic")
 
 
 @query(f"{TREE} SELECT ai AS i, aj AS j, SUM(1) > 0 AND BOOL_OR(FALSE) AS wet FROM r WHERE FALSE GROUP BY ai, aj UNION ALL SELECT r.i, r.j, BOOL_OR(CAST(b.z AS BIGINT) % 5 = 0) AS wet FROM r JOIN c AS b ON b.i = r.ai AND b.j = r.aj GROUP BY r.i, r.j")
@@ -336,12 +358,26 @@ def ocean_invalidate(spark, sf_dir):
     return components.invalidate_ocean_basins(raster(spark, sf_dir, 10), -3, min_size=4).select("i", "j", "valid")
 
 
-@query()
+def _fill_sql(name: str, seeds: str = "") -> str:
+    """Table ``name``: i, j, z at the least height at which water reaches the edge, lowered until nothing changes."""
+    return f"""{name}(i, j, z) USING KEY (i, j) AS (SELECT c.i, c.j, c.z FROM c CROSS JOIN s WHERE c.i = 0 OR c.j = 0 OR c.i = nr - 1 OR c.j = nc - 1 {seeds}
+    UNION SELECT e.bi, e.bj, MIN(GREATEST(e.bz, w.z)) FROM {name} AS w JOIN e ON e.i = w.i AND e.j = w.j LEFT JOIN recurring.{name} AS o ON o.i = e.bi AND o.j = e.bj WHERE o.z IS NULL OR GREATEST(e.bz, w.z) < o.z GROUP BY e.bi, e.bj)"""
+
+
+_EDGES = f"{CELLS}, {DIRS}, s AS (SELECT MAX(i) + 1 AS nr, MAX(j) + 1 AS nc FROM c), e AS MATERIALIZED (SELECT a.i, a.j, b.i AS bi, b.j AS bj, b.z AS bz FROM c AS a CROSS JOIN d JOIN c AS b ON b.i = a.i + d.di AND b.j = a.j + d.dj)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_fill_sql('w')} SELECT i, j, CAST(z AS BIGINT) AS z FROM w")
 def fill_depressions(spark, sf_dir):
     return flow.fill_depressions(raster(spark, sf_dir)).select("i", "j", F.col("z").cast("long").alias("z"))
 
 
-@query()
+#: Raised areas of more than 8 cells, each with its lowest cell as a sink of the second flood
+@query(f"""WITH RECURSIVE {_EDGES}, {_fill_sql('w')}, p AS MATERIALIZED (SELECT c.i, c.j, c.z FROM c JOIN w ON w.i = c.i AND w.j = c.j WHERE w.z > c.z),
+    q(i, j, root) USING KEY (i, j) AS (SELECT i, j, CAST(j AS BIGINT) * 1000000000 + i FROM p UNION SELECT e.bi, e.bj, MIN(q.root) FROM q JOIN e ON e.i = q.i AND e.j = q.j JOIN recurring.q AS o ON o.i = e.bi AND o.j = e.bj WHERE q.root < o.root GROUP BY e.bi, e.bj),
+    l AS MATERIALIZED (SELECT i, j, root, z FROM (SELECT q.i, q.j, q.root, p.z, COUNT(*) OVER (PARTITION BY q.root) AS n FROM q JOIN p ON p.i = q.i AND p.j = q.j) AS x WHERE n > 8),
+    k AS MATERIALIZED (SELECT i, j, z FROM l QUALIFY ROW_NUMBER() OVER (PARTITION BY root ORDER BY z, i, j) = 1), {_fill_sql('w2', 'UNION SELECT k.i, k.j, k.z FROM k')}
+    SELECT w.i, w.j, CAST(CASE WHEN l.i IS NULL THEN w.z ELSE w2.z END AS BIGINT) AS z FROM w JOIN w2 ON w2.i = w.i AND w2.j = w.j LEFT JOIN l ON l.i = w.i AND l.j = w.j""")
 def fill_max_size(spark, sf_dir):
     return flow.fill_small_depressions(raster(spark, sf_dir), 8).select("i", "j", F.col("z").cast("long").alias("z"))
 
@@ -408,11 +444,14 @@ def flowgraph_arcs(spark, sf_dir):
     return flat.select("ord", F.col("hi").cast("int").alias("hi"), F.col("hj").cast("int").alias("hj"), "seq", F.col("p.i").cast("int").alias("i"), F.col("p.j").cast("int").alias("j"))
 
 
-@query(f"{TREE}, {_ORDERS} SELECT f.i, f.j, f.ti AS i2, f.tj AS j2 FROM f JOIN w ON w.i = f.i AND w.j = f.j WHERE w.ord >= 2 AND FALSE")
+#: A third of the arcs is left out, by the place of their heads: their edges are uncovered
+@query(f"{TREE}, {_ARCS} SELECT v.i, v.j, n.i AS i2, n.j AS j2 FROM v JOIN v AS n ON n.hi = v.hi AND n.hj = v.hj AND n.hops = v.hops + 1 WHERE (v.hi + v.hj) % 3 = 0")
 def flowgraph_coverage(spark, sf_dir):
+    head = F.element_at("path", 1)
     table = flow_table(spark, sf_dir)
     orders = durable(metrics.strahler(table))
     arcs = network.construct_flowgraph(table, orders, check=False)
+    arcs = arcs.where((head["i"] + head["j"]) % 3 != 0)
     return network.uncovered_edges(network.selected_cells(table, orders), arcs).select("i", "j", "i2", "j2")
 
 
@@ -482,7 +521,13 @@ def solve_overlaps_kept(spark, sf_dir):
     return _flat(a.unionByName(b))
 
 
-@query()
+#: Spans (lo, hi) are halved at their farthest vertex, the first of equal ones, while it is more than 2 away
+@query(f"""WITH RECURSIVE {_VERTS}, w AS MATERIALIZED (SELECT * FROM v), k(arc_id, lo, hi) AS (SELECT arc_id, CAST(0 AS BIGINT), n - 1 FROM (SELECT DISTINCT arc_id, n FROM w) AS h
+    UNION ALL SELECT m.arc_id, CASE WHEN half = 0 THEN m.lo ELSE m.far END, CASE WHEN half = 0 THEN m.far ELSE m.hi END FROM (SELECT arc_id, lo, hi, ARG_MAX(seq, (d2, -seq)) AS far, MAX(d2) AS d2 FROM
+    (SELECT *, (pi - t * vi) * (pi - t * vi) + (pj - t * vj) * (pj - t * vj) AS d2 FROM (SELECT *, CASE WHEN vi * vi + vj * vj = 0 THEN 0 ELSE LEAST(1.0, GREATEST(0.0, (pi * vi + pj * vj) / (vi * vi + vj * vj))) END AS t FROM
+    (SELECT k.arc_id, k.lo, k.hi, x.seq, x.i - a.i AS pi, x.j - a.j AS pj, b.i - a.i AS vi, b.j - a.j AS vj FROM k JOIN w AS a ON a.arc_id = k.arc_id AND a.seq = k.lo JOIN w AS b ON b.arc_id = k.arc_id AND b.seq = k.hi JOIN w AS x ON x.arc_id = k.arc_id AND x.seq > k.lo AND x.seq < k.hi) AS y) AS y) AS y
+    GROUP BY arc_id, lo, hi) AS m CROSS JOIN (VALUES (0), (1)) AS two(half) WHERE m.d2 > 4.0), g AS (SELECT arc_id, lo AS seq FROM k UNION SELECT arc_id, hi FROM k)
+    SELECT graph_id, w.arc_id, ord, CAST(ROW_NUMBER() OVER (PARTITION BY w.arc_id ORDER BY w.seq) - 1 AS INTEGER) AS seq, w.i, w.j FROM w JOIN g ON g.arc_id = w.arc_id AND g.seq = w.seq""")
 def rdp_simplify(spark, sf_dir):
     return _flat(network.rdp_simplify(customer_arcs(spark, sf_dir), 2.0).drop("keep"))
 
@@ -557,7 +602,15 @@ def customer_points(spark, sf_dir) -> DataFrame:
     return c.select(F.col("c_nationkey").cast("string").alias("mesh_id"), F.col("c_custkey").cast("int").alias("vid"), F.col("c_custkey").cast("long").alias("x"), F.floor("c_acctbal").cast("long").alias("y"))
 
 
-@query()
+_D2 = lambda v: f"CAST((t.{v}x - p.x) * (t.{v}x - p.x) + (t.{v}y - p.y) * (t.{v}y - p.y) AS HUGEINT)"
+_DET = lambda v, w: f"((t.{v}x - p.x) * (t.{w}y - p.y) - (t.{w}x - p.x) * (t.{v}y - p.y))"
+
+
+#: Every counter-clockwise triangle of a nation's customers whose circle holds no other
+@query(f"""WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS mesh_id, CAST(c_custkey AS INTEGER) AS v, CAST(c_custkey AS BIGINT) AS x, CAST(FLOOR(c_acctbal) AS BIGINT) AS y FROM customer),
+    t AS MATERIALIZED (SELECT a.mesh_id, a.v AS a, b.v AS b, c.v AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, c.x AS cx, c.y AS cy FROM p AS a JOIN p AS b ON b.mesh_id = a.mesh_id AND b.v > a.v JOIN p AS c ON c.mesh_id = a.mesh_id AND c.v > a.v AND c.v <> b.v WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0),
+    g AS (SELECT mesh_id, a, b, c FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.mesh_id = t.mesh_id AND p.v NOT IN (t.a, t.b, t.c) AND {_D2('a')} * {_DET('b', 'c')} + {_D2('b')} * {_DET('c', 'a')} + {_D2('c')} * {_DET('a', 'b')} > 0))
+    SELECT mesh_id, CAST(ROW_NUMBER() OVER (PARTITION BY mesh_id ORDER BY a, b, c) - 1 AS INTEGER) AS fid, a, b, c FROM g""")
 def delaunay(spark, sf_dir):
     return mesh.triangulate_points(customer_points(spark, sf_dir))
 
@@ -566,7 +619,7 @@ _MESH = """b AS (SELECT CAST(vec_id AS INTEGER) AS i, CAST(ord - 1 AS INTEGER) A
     p AS (SELECT CAST(i // 20 AS VARCHAR) AS mesh_id, (i % 20) * 64 + j AS vid, i % 20 AS x, j AS y FROM b), t AS (SELECT mesh_id, MAX(x) AS last FROM p GROUP BY mesh_id),
     q AS (SELECT mesh_id, vid FROM p JOIN t USING (mesh_id) WHERE x < last AND y < 63),
     f AS (SELECT mesh_id, ROW_NUMBER() OVER (PARTITION BY mesh_id ORDER BY a, b, c) - 1 AS fid, a, b, c FROM (SELECT mesh_id, vid AS a, vid + 64 AS b, vid + 65 AS c FROM q UNION ALL SELECT mesh_id, vid, vid + 65, vid + 1 FROM q) AS x),
-    s AS (SELECT mesh_id, fid, 0 AS side, b AS u, c AS v FROM f UNION ALL SELECT mesh_id, fid, 1, c, a FROM f UNION ALL SELECT mesh_id, fid, 2, a, b FROM f)"""
+    s AS MATERIALIZED (SELECT mesh_id, fid, 0 AS side, b AS u, c AS v FROM f UNION ALL SELECT mesh_id, fid, 1, c, a FROM f UNION ALL SELECT mesh_id, fid, 2, a, b FROM f)"""
 
 
 @query(f"""WITH {_MESH} SELECT s.mesh_id, CAST(s.fid AS INTEGER) AS fid, CAST(MAX(CASE WHEN s.side = 0 THEN COALESCE(o.fid, -1) END) AS INTEGER) AS n0, CAST(MAX(CASE WHEN s.side = 1 THEN COALESCE(o.fid, -1) END) AS INTEGER) AS n1, CAST(MAX(CASE WHEN s.side = 2 THEN COALESCE(o.fid, -1) END) AS INTEGER) AS n2
@@ -585,8 +638,8 @@ def mesh_segments(spark, sf_dir) -> DataFrame:
 _SEGS = "g AS (SELECT CAST(c_custkey % 25 AS VARCHAR) AS mesh_id, c_custkey AS cid, (c_custkey % 15) * 64 + c_custkey % 50 AS p, (c_custkey % 15 + 1 + c_custkey % 4) * 64 + c_custkey % 50 + c_custkey % 13 - 6 + 6 AS q FROM customer)"
 
 
-@query(f"""WITH {_MESH}, {_SEGS}, e AS (SELECT s.mesh_id, s.fid, s.side, s.u, s.v FROM s JOIN s AS o ON o.mesh_id = s.mesh_id AND o.u = s.v AND o.v = s.u WHERE s.fid < o.fid),
-    m AS (SELECT e.mesh_id, g.cid, e.fid, e.side, e.u, e.v, e.u // 64 AS a1, e.u % 64 AS a2, e.v // 64 AS b1, e.v % 64 AS b2, g.p // 64 AS c1, g.p % 64 AS c2, g.q // 64 AS d1, g.q % 64 AS d2 FROM e JOIN g ON g.mesh_id = e.mesh_id)
+@query(f"""WITH {_MESH}, {_SEGS}, e AS MATERIALIZED (SELECT s.mesh_id, s.fid, s.side, s.u, s.v FROM s JOIN s AS o ON o.mesh_id = s.mesh_id AND o.u = s.v AND o.v = s.u WHERE s.fid < o.fid),
+    m AS (SELECT e.mesh_id, g.cid, e.fid, e.side, e.u, e.v, e.u // 64 AS a1, e.u % 64 AS a2, e.v // 64 AS b1, e.v % 64 AS b2, g.p // 64 AS c1, g.p % 64 AS c2, g.q // 64 AS d1, g.q % 64 AS d2 FROM e JOIN g ON g.mesh_id = e.mesh_id AND LEAST(e.u // 64, e.v // 64) <= GREATEST(g.p // 64, g.q // 64) AND GREATEST(e.u // 64, e.v // 64) >= LEAST(g.p // 64, g.q // 64))
     SELECT mesh_id, cid, CAST(fid AS INTEGER) AS fid, CAST(side AS INTEGER) AS side, CAST(LEAST(u, v) AS INTEGER) AS u, CAST(GREATEST(u, v) AS INTEGER) AS v FROM m WHERE {_CROSS}""")
 def crossing_edges(spark, sf_dir):
     verts, faces = grid_mesh(spark, sf_dir)
@@ -603,11 +656,10 @@ def existing_constraints(spark, sf_dir):
 
 @query()
 def cdt_recover(spark, sf_dir):
-    """Chains of every third customer of a nation, recovered in its triangulation: they run forward in x, so they don't cross."""
+    """The chain of a nation's customers, recovered in its triangulation: it runs forward in x, so it doesn't cross itself."""
     points = customer_points(spark, sf_dir)
     w = W.partitionBy("mesh_id").orderBy("vid")
-    every = points.withColumn("n", F.row_number().over(w)).where("n % 3 = 0")
-    chain = every.select("mesh_id", F.col("vid").alias("u"), F.lead("vid").over(w).alias("v")).where("v is not null")
+    chain = points.select("mesh_id", F.col("vid").alias("u"), F.lead("vid").over(w).alias("v")).where("v is not null")
     edges = chain.select("mesh_id", F.row_number().over(W.partitionBy("mesh_id").orderBy("u")).alias("cid"), "u", "v")
     return mesh.recover_constraints(points, durable(mesh.triangulate_points(points)), edges)
 
