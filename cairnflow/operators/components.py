@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,11 +14,28 @@ from .grid import shapes
 from .stencil import neighbour, neighbourhood
 
 
-def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[str, ...] = ()) -> DataFrame:
-    """grid_id, i, j, cid, comp of the cells where ``member`` holds: 8-connected components.
+def _merge(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each of 0 ... n - 1 over the links (u, v): hooking and pointer jumping."""
+    root = np.arange(n)
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
+def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[str, ...] = (), tile: int = 256) -> DataFrame:
+    """grid_id, i, j, cid, comp of the cells where ``member`` holds: 8-connected components by their smallest cid.
 
     ``joined(n)`` may restrict which neighbour structs (with ``values``) count as connected.
-    Grids are kept apart by hashing grid and cell to one node id with a checked 64-bit key.
+    Components are merged inside each tile first; only links between tiles, whose number goes
+    with the tiles' borders, take part in the distributed rounds.
     """
     marked = cells.withColumn("_in", F.coalesce(member, F.lit(False)))
     near = neighbourhood(marked, ["_in", *values]).where("_in")
@@ -26,15 +45,30 @@ def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[st
         n = neighbour(d)
         ok = n["_in"] if joined is None else n["_in"] & joined(n)
         links.append(F.when(ok, n["cid"]))
-    # one connected_components run serves all grids: the grid's number goes above the cell id's bits
-    grids = cells.select("grid_id").distinct().withColumn("_g", F.row_number().over(W.orderBy("grid_id")).cast("decimal(38,0)"))
-    node = lambda c: F.col("_g") * F.lit(1 << 62).cast("decimal(38,0)") + c
-    base = durable(near.join(F.broadcast(grids), "grid_id").select("grid_id", "i", "j", "cid", "_g", F.array_compact(F.array(*links)).alias("to")))
-    edges = base.select(node(F.col("cid")).alias("u"), F.explode("to").alias("t"), "_g").select("u", node(F.col("t")).alias("v"))
-    found = connected_components(edges)
-    out = base.withColumn("node", node(F.col("cid"))).join(found, "node", "left")
-    comp = (F.coalesce("component", "node") - F.col("_g") * F.lit(1 << 62).cast("decimal(38,0)")).cast("long")
-    return out.select("grid_id", "i", "j", "cid", comp.alias("comp"))
+    base = near.select("grid_id", "i", "j", "cid", F.array_compact(F.array(*links)).alias("to"))
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.select(["grid_id", "i", "j", "cid", "to"]).sort_by("cid")
+        cid, to = t.column("cid").to_numpy(), t.column("to").combine_chunks()
+        ends = to.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.diff(to.offsets.to_numpy())
+        u = np.repeat(np.arange(len(cid)), counts)
+        at = np.minimum(np.searchsorted(cid, ends), max(len(cid) - 1, 0))
+        inside = cid[at] == ends
+        root = cid[_merge(len(cid), u[inside], at[inside])]
+        bounds = np.r_[0, np.cumsum(np.bincount(u[~inside], minlength=len(cid)))].astype(np.int32)
+        away = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends[~inside], pa.int64()))
+        return t.drop_columns(["to"]).append_column("root", pa.array(root, pa.int64())).append_column("away", away)
+
+    tiles = base.groupBy("grid_id", F.floor(F.col("i") / tile), F.floor(F.col("j") / tile))
+    kept = durable(tiles.applyInArrow(merge, "grid_id string, i int, j int, cid long, root long, away array<long>"))
+    node = lambda c: F.struct("grid_id", F.col(c).alias("cid"))
+    there = kept.select("grid_id", F.col("cid").alias("t"), F.col("root").alias("far"))
+    crossing = kept.where(F.size("away") > 0).select("grid_id", "root", F.explode("away").alias("t")).join(there, ["grid_id", "t"])
+    found = connected_components(crossing.select(node("root").alias("u"), node("far").alias("v")))
+    found = found.select(F.col("node.grid_id").alias("grid_id"), F.col("node.cid").alias("root"), F.col("component.cid").alias("comp"))
+    out = kept.join(found, ["grid_id", "root"], "left")
+    return out.select("grid_id", "i", "j", "cid", F.coalesce("comp", "root").alias("comp"))
 
 
 def mask_areas(cells: DataFrame, mask: Column) -> DataFrame:

@@ -71,30 +71,38 @@ def layers(labelled: DataFrame, seeds: Column, name: str, max_rounds: int = 100_
     return labelled.join(reached, ["grid_id", "cid"], "left").withColumn(name, F.coalesce(name, F.lit(0))).select(*labelled.columns, name)
 
 
-def _layers_by_flat(labelled: DataFrame) -> DataFrame:
-    """Add push_d and pull_d: breadth-first layers from high and low edges, one task row-group per flat."""
+def _layers_by_flat(labelled: DataFrame, alone: int = 4096) -> DataFrame:
+    """Add push_d and pull_d: breadth-first layers from high and low edges.
+
+    A flat of more than ``alone`` cells has a kernel call of its own, smaller ones share one in
+    64s. ``labelled`` has the flats' sizes as ``n``.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        where = {(i, j): k for k, (i, j) in enumerate(zip(pdf.i.tolist(), pdf.j.tolist()))}
-        cells = list(where)
-        for name, seeds in (("push_d", pdf.high_edge.to_numpy(bool)), ("pull_d", pdf.low_edge.to_numpy(bool))):
-            depth = np.zeros(len(pdf), np.int64)
-            front = [k for k in np.nonzero(seeds)[0].tolist()]
-            depth[front] = 1
-            while front:
-                following = []
-                for k in front:
-                    i, j = cells[k]
-                    for d in D8.neighbours():
-                        m = where.get((i + d.di, j + d.dj))
-                        if m is not None and not depth[m]:
-                            depth[m] = depth[k] + 1
-                            following.append(m)
-                front = following
-            pdf[name] = depth
-        return pdf[["grid_id", "cid", "push_d", "pull_d"]]
-
-    return labelled.groupBy("grid_id", "label").applyInPandas(run, "grid_id string, cid long, push_d long, pull_d long")
+        i, j, flat = (pdf[c].to_numpy(np.int64) for c in ("i", "j", "label"))
+        order = np.lexsort((j, i))
+        i, j, flat = i[order], j[order], flat[order]
+        wide = int(j.max()) + 3
+        key = (i + 1) * wide + j + 1
+        slots = np.full((8, len(key)), -1)
+        for k, d in enumerate(D8.neighbours()):
+            to = key + d.di * wide + d.dj
+            at = np.minimum(np.searchsorted(key, to), len(key) - 1)
+            slots[k] = np.where((key[at] == to) & (flat[at] == flat), at, -1)
+        out = {"grid_id": pdf.grid_id.to_numpy(), "cid": pdf.cid.to_numpy()[order]}
+        for name, seed in (("push_d", "high_edge"), ("pull_d", "low_edge")):
+            depth = np.zeros(len(key), np.int64)
+            front, n = np.nonzero(pdf[seed].to_numpy(bool)[order])[0], 0
+            while len(front):
+                n += 1
+                depth[front] = n
+                front = np.unique(slots[:, front])
+                front = front[(front >= 0) & (depth[front] == 0)]
+            out[name] = depth
+        return pd.DataFrame(out)
+
+    key = F.when(F.col("n") > alone, F.col("label")).otherwise(-F.floor(F.col("label") / 64) - 1)
+    return labelled.groupBy("grid_id", key).applyInPandas(run, "grid_id string, cid long, push_d long, pull_d long")
 
 
 def flat_gradients(labelled: DataFrame, kernel_cells: int = 1_000_000) -> DataFrame:
@@ -106,7 +114,7 @@ def flat_gradients(labelled: DataFrame, kernel_cells: int = 1_000_000) -> DataFr
     """
     flats = durable(labelled.where("label > 0").select("grid_id", "i", "j", "cid", "label", "high_edge", "low_edge"))
     sizes = flats.groupBy("grid_id", "label").agg(F.count("*").alias("n"))
-    small = flats.join(sizes.where(F.col("n") <= kernel_cells).select("grid_id", "label"), ["grid_id", "label"], "left_semi")
+    small = flats.join(sizes.where(F.col("n") <= kernel_cells), ["grid_id", "label"])
     done = _layers_by_flat(small)
     large = flats.join(sizes.where(F.col("n") > kernel_cells).select("grid_id", "label"), ["grid_id", "label"], "left_semi")
     if not large.isEmpty():
