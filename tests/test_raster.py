@@ -301,3 +301,14 @@ def test_exact_predicates():
     assert exact.incircle(*((x + k, y - k) for x, y in ((0, 0), (2, 0), (0, 2), (1, 1)))) == 8
     with pytest.raises(ValueError):
         exact.incircle((0, 0), (1, 1), (2, 2), (3, 4), oriented=True)
+
+
+def test_simple_d8_of_other_schemes(spark):
+    z = np.random.default_rng(3).integers(0, 9, (9, 8)).astype(float)
+    cells = grid.cells_from_array(spark, z.tolist())
+    for scheme in (D8, D8Directions(sort_by_distance=False), D8Directions(window=5, transform_codes=int)):
+        got = {(r.i, r.j): r.code for r in flow.simple_d8(cells, scheme).collect()}
+        for (i, j), code in got.items():
+            near = [(z[i + d.di, j + d.dj], d.ord, d.code) for d in scheme.neighbours() if 0 <= i + d.di < 9 and 0 <= j + d.dj < 8]
+            low = min(near)
+            assert code == (low[2] if low[0] < z[i, j] else 0)
