@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..plans.iterate import descend, durable
+from ..plans.iterate import durable, on_cycles
 from .components import component_of
 from .directions import D8, D8Directions
 from .grid import shapes, with_ids
@@ -169,21 +169,8 @@ def indegree(flow: DataFrame) -> DataFrame:
 
 
 def acyclic(flow: DataFrame) -> DataFrame:
-    """grid_id, i, j, acyclic, cyclic: cyclic cells lie on a cycle of the flow field.
-
-    A cell that leads into a cycle isn't on one: the cells that 2**k steps from such cells
-    reach, with 2**k at least their number, are exactly the cycles.
-    """
-    key = ["grid_id"]
-    tree = flow.where("valid").select("grid_id", "cid", "ds")
-    reached = descend(tree, key, F.lit(1.0))
-    stuck = durable(tree.join(reached.where("root is null").select("grid_id", "cid"), ["grid_id", "cid"], "left_semi").withColumnRenamed("ds", "to"))
-    n, k = stuck.count(), 0
-    while n and 2**k < n:
-        jump = stuck.select("grid_id", F.col("cid").alias("to"), F.col("to").alias("far"))
-        stuck = durable(stuck.join(jump, ["grid_id", "to"]).select("grid_id", "cid", F.col("far").alias("to")))
-        k += 1
-    on = stuck.select("grid_id", F.col("to").alias("cid"), F.lit(True).alias("on")).distinct()
+    """grid_id, i, j, acyclic, cyclic: cyclic cells lie on a cycle of the flow field; one that only leads into it doesn't."""
+    on = on_cycles(flow.where("valid"), ["grid_id"]).withColumn("on", F.lit(True))
     out = flow.join(on, ["grid_id", "cid"], "left")
     return out.select("grid_id", "i", "j", (F.col("valid") & F.col("on").isNull()).alias("acyclic"), (F.col("valid") & F.col("on").isNotNull()).alias("cyclic"))
 
