@@ -7,7 +7,7 @@ The triangulation kernels take a mesh per task; everything else is relational.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +25,10 @@ GHOST = -1
 
 
 class Mesh:
-    """Triangles as a map from directed sides to the vertex on their left."""
+    """Triangles as a map from directed sides to the vertex on their left, and for each vertex the end of a side from it."""
 
     def __init__(self, points: list[tuple], faces: Iterable[tuple[int, int, int]] = ()):
-        self.p, self.apex = points, {}
+        self.p, self.apex, self.out = points, {}, {}
         for f in faces:
             self.add(*f)
 
@@ -37,6 +37,7 @@ class Mesh:
             if (u, v) in self.apex:
                 raise ConstraintError(f"side ({u}, {v}) belongs to two faces of one orientation")
             self.apex[u, v] = w
+            self.out[u] = v
 
     def remove(self, a: int, b: int, c: int) -> None:
         for side in ((a, b), (b, c), (c, a)):
@@ -62,9 +63,37 @@ class Mesh:
         c, d = self.apex.get((u, v)), self.apex.get((v, u))
         return c is not None and d is not None and exact.crosses(self.p[u], self.p[v], self.p[c], self.p[d])
 
+    def around(self, u: int) -> Iterator[tuple[int, int]]:
+        """The sides opposite u of the faces at u: counterclockwise to the boundary, then clockwise."""
+        first = w = self.out.get(u)
+        while w is not None and (x := self.apex.get((u, w))) is not None:
+            yield w, x
+            w = x
+            if w == first:
+                return
+        w = first
+        while w is not None and (x := self.apex.get((w, u))) is not None:
+            yield x, w
+            w = x
+
     def crossing(self, u: int, v: int) -> list[tuple[int, int]]:
-        """Interior sides that the segment u v properly crosses."""
+        """Interior sides that the segment u v properly crosses, found by walking the faces from u to v.
+
+        Where the segment meets a vertex or the boundary on its way, every side is looked at.
+        """
         pu, pv = self.p[u], self.p[v]
+        found = []
+        start = next(((a, b) for a, b in self.around(u) if exact.orient(pu, pv, self.p[a]) < 0 < exact.orient(pu, pv, self.p[b]) and exact.orient(self.p[a], self.p[b], pv) <= 0), None)
+        while start is not None:
+            a, b = start
+            found.append((min(a, b), max(a, b)))
+            c = self.apex.get((b, a))
+            if c == v:
+                return sorted(found)
+            side = 0 if c is None else exact.orient(pu, pv, self.p[c])
+            if not side or len(found) > len(self.apex):
+                break
+            start = (c, b) if side < 0 else (a, c)
         return sorted((a, b) for (a, b) in self.apex if a < b and (b, a) in self.apex and not {a, b} & {u, v} and exact.crosses(pu, pv, self.p[a], self.p[b]))
 
 

@@ -256,3 +256,19 @@ def test_constraint_graph(spark):
     broken = e.where("kinds <> 5").unionByName(spark.createDataFrame([(3, 1, 1), (0, 99, 1)], "u long, v long, kinds int"))
     problems = {r.problem for r in mesh.validate_constraints(v, broken, (5, 7)).collect()}
     assert {"unknown vertex", "not in canonical order", "boundary edge missing"} <= problems
+
+
+def test_crossing_sides_are_found_by_walking(monkeypatch):
+    rng = np.random.default_rng(11)
+    pts = list({(int(x), int(y)) for x, y in rng.integers(0, 4000, (400, 2))})
+    m = mesh.Mesh(pts, mesh.delaunay(pts))
+    calls, crosses = [], exact.crosses
+    monkeypatch.setattr(mesh.exact, "crosses", lambda *a: calls.append(a) or crosses(*a))
+    for u, v in rng.integers(0, len(pts), (60, 2)):
+        if u != v:
+            want = sorted((a, b) for (a, b) in m.apex if a < b and (b, a) in m.apex and not {a, b} & {int(u), int(v)} and crosses(pts[u], pts[v], pts[a], pts[b]))
+            assert m.crossing(int(u), int(v)) == want
+    assert len(calls) < 10 * len(m.apex)  # looking at every side took about 60 times as many
+    grid_ = [(x, y) for x in range(4) for y in range(4)]
+    lattice = mesh.Mesh(grid_, [f for x in range(3) for y in range(3) for f in ((4 * x + y, 4 * x + y + 4, 4 * x + y + 5), (4 * x + y, 4 * x + y + 5, 4 * x + y + 1))])
+    assert lattice.crossing(1, 4) == [(0, 5)] and lattice.crossing(0, 15) == []  # through vertices
