@@ -1,8 +1,8 @@
 """Neighbour access over cells.
 
 3 x 3 neighbourhoods come from two windows: ``lag``/``lead`` along the row, then along the
-column over the row's triples. That is two shuffles of the cells and no join; a partition
-holds one raster line. Other windows push each value to its neighbours and group.
+column over the row's triples, within blocks of 2**BLOCK_BITS rows and columns and a rim of one cell around. That is one
+shuffle of the cells and no join; a partition holds one block. Other windows push each value to its neighbours and group.
 """
 
 from __future__ import annotations
@@ -22,20 +22,27 @@ def neighbour(d: Direction) -> Column:
     return F.col(f"nb_{d.di + 1}{d.dj + 1}")
 
 
+BLOCK_BITS = 7
+
+
 def neighbourhood(cells: DataFrame, values: Sequence[str]) -> DataFrame:
     """Add a struct of ``values`` (and i, j, cid) for each 3 x 3 neighbour, null outside the raster: see ``neighbour``."""
     me = F.struct("i", "j", "cid", *values)
-    row = W.partitionBy("grid_id", "i").orderBy("j")
+    blocks = lambda c: F.explode(F.sequence(F.shiftright(F.greatest(F.col(c) - 1, F.lit(0)), BLOCK_BITS), F.shiftright(F.col(c) + 1, BLOCK_BITS)))
+    block = ["grid_id", "_bi", "_bj"]
+    rimmed = cells.select("*", blocks("i").alias("_bi")).select("*", blocks("j").alias("_bj")).repartition(*block)
+    row = W.partitionBy(*block, "i").orderBy("j")
     side = lambda f, step: F.when(f("j").over(row) == F.col("j") + step, f(me).over(row))
-    triple = cells.withColumn("_w", side(F.lag, -1)).withColumn("_e", side(F.lead, 1)).withColumn("_me", me)
-    line = W.partitionBy("grid_id", "j").orderBy("i")
+    triple = rimmed.withColumn("_w", side(F.lag, -1)).withColumn("_e", side(F.lead, 1)).withColumn("_me", me)
+    line = W.partitionBy(*block, "j").orderBy("i")
     all3 = F.struct("_w", "_me", "_e", "i")
     pick = lambda f, step: F.when(f("i").over(line) == F.col("i") + step, f(all3).over(line))
     both = triple.withColumn("_up", pick(F.lag, -1)).withColumn("_down", pick(F.lead, 1))
+    own = both.where((F.shiftright("i", BLOCK_BITS) == F.col("_bi")) & (F.shiftright("j", BLOCK_BITS) == F.col("_bj")))
     of = {-1: "_w", 0: "_me", 1: "_e"}
     source = lambda d: F.col(of[d.dj]) if d.di == 0 else F.col("_up" if d.di < 0 else "_down")[of[d.dj]]
     # a diagonal needs its row neighbour's row, which a hole in the row hides: triples exist for present cells only
-    return both.select(*cells.columns, *(source(d).alias(f"nb_{d.di + 1}{d.dj + 1}") for d in D8.neighbours()))
+    return own.select(*cells.columns, *(source(d).alias(f"nb_{d.di + 1}{d.dj + 1}") for d in D8.neighbours()))
 
 
 def lowest(z: Column, usable: Column, field: str = "z", ok: str = "valid", scheme: D8Directions = D8, same: tuple[str, Column] | None = None) -> Column:

@@ -74,30 +74,55 @@ def _ways(cid: np.ndarray, ds: np.ndarray, has: np.ndarray, hops: np.ndarray, di
     return step, to, h, d, ring
 
 
-def _local(tree: DataFrame, k: list[str], step: Column) -> tuple[DataFrame, DataFrame, int]:
+def _lifts(step: np.ndarray, hops: np.ndarray) -> list[np.ndarray]:
+    """Tables of the 2**n-th nodes ahead, ends being their own."""
+    lifts = [step]
+    while 2 ** len(lifts) <= hops.max(initial=0):
+        lifts.append(lifts[-1][lifts[-1]])
+    return lifts
+
+
+def lifted(lifts: list[np.ndarray], at: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The nodes ``by`` steps ahead."""
+    for n, far in enumerate(lifts):
+        at = np.where(by >> n & 1, far[at], at)
+    return at
+
+
+def meeting(lifts: list[np.ndarray], hops: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The first common node of the ways from u and v, which have one end."""
+    u, v = lifted(lifts, u, np.maximum(hops[u] - hops[v], 0)), lifted(lifts, v, np.maximum(hops[v] - hops[u], 0))
+    for far in reversed(lifts):
+        a, b = far[u], far[v]
+        u, v = np.where(a != b, a, u), np.where(a != b, b, v)
+    return np.where(u == v, u, lifts[0][u])
+
+
+def _local(tree: DataFrame, k: list[str], step: Column, more=None, kinds_more: str = "") -> tuple[DataFrame, DataFrame, int]:
     """(every node's way within its tile, the links between tiles, their number).
 
     The first: key, cid, exit (the way's last node in the tile, null for a cycle), hops, dist, ring (lies on a cycle in the
     tile) and, at exits that lead on, ds and step. The second: key, cid (an exit), ds, to (the exit of the tile it leads
-    to; null if it has none), hops and dist from exit to exit.
+    to; null if it has none), hops and dist from exit to exit. ``more`` may add columns, of ``kinds_more``, to the first.
     """
     kinds = ", ".join(f"`{c}` {tree.schema[c].dataType.simpleString()}" for c in k)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.select([*k, "cid", "ds", "step"]).sort_by("cid")
         cid, has = t.column("cid").to_numpy(), t.column("ds").is_valid().to_numpy()
-        _, end, hops, dist, on = _ways(cid, _np(t, "ds"), has, np.ones(len(cid), np.int64), _np(t, "step"))
+        next_, end, hops, dist, on = _ways(cid, _np(t, "ds"), has, np.ones(len(cid), np.int64), _np(t, "step"))
         ring = np.zeros(len(cid), bool)
         ring[on] = True
+        extra = more(cid, next_, end, hops, dist, has) if more else {}
         inner = ~has | (end != np.arange(len(cid)))
-        more = {"exit": pa.array(cid[end], mask=end < 0), "hops": pa.array(hops), "dist": pa.array(dist), "ring": pa.array(ring), "ds": pa.array(_np(t, "ds"), mask=inner), "step": pa.array(_np(t, "step"), mask=inner)}
+        added = {"exit": pa.array(cid[end], mask=end < 0), "hops": pa.array(hops), "dist": pa.array(dist), "ring": pa.array(ring), "ds": pa.array(_np(t, "ds"), mask=inner), "step": pa.array(_np(t, "step"), mask=inner)}
         t = t.select([*k, "cid"])
-        for name, column in more.items():
+        for name, column in (added | extra).items():
             t = t.append_column(name, column)
         return t
 
     nodes = tree.select(*k, "cid", "ds", F.when(F.col("ds").isNotNull(), step).cast("double").alias("step"))
-    local = durable(nodes.groupBy(*k, *_side("cid")).applyInArrow(run, f"{kinds}, cid long, exit long, hops long, dist double, ring boolean, ds long, step double"))
+    local = durable(nodes.groupBy(*k, *_side("cid")).applyInArrow(run, f"{kinds}, cid long, exit long, hops long, dist double, ring boolean, ds long, step double{kinds_more}"))
     leaving = durable(local.where("ds is not null").select(*k, "cid", "ds", "step"))
     n = leaving.count()
     there = local.select(*k, F.col("cid").alias("ds"), F.col("exit").alias("to"), "hops", F.col("dist").alias("far"))

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from cairnflow.operators import flow, grid, metrics
+from cairnflow.operators import flow, grid, metrics, ridges, stencil
+from cairnflow.operators.directions import D8
 from cairnflow.plans import iterate
 from pyspark.sql import functions as F
 
@@ -83,3 +84,51 @@ def test_acyclic_takes_few_jobs(spark):
 
 def test_gradients_of_a_single_row(spark):
     assert metrics.accumulation(flow.simple_d8(grid.cells_from_array(spark, [[3.0, 2, 1]]))).agg(F.max("accum")).first()[0] == 3
+
+
+@pytest.mark.parametrize("seed", [2, 7])
+def test_branch_distance_across_tiles(spark, tiled, seed):
+    z = np.random.default_rng(seed).integers(0, 60, (13, 12)).astype(float)
+    table = iterate.durable(flow.complete_d8(grid.cells_from_array(spark, z.tolist())))
+    to = {r.cid: r.ds for r in table.select("cid", "ds").collect()}
+    at = {(c & (2**31 - 1), c >> 31): c for c in to}
+
+    def way(c):
+        out = [(c, 0.0)]
+        while to[c] is not None:
+            a, b = (c & (2**31 - 1), c >> 31), (to[c] & (2**31 - 1), to[c] >> 31)
+            c = to[c]
+            out.append((c, out[-1][1] + float(np.hypot(a[0] - b[0], a[1] - b[1]))))
+        return out
+
+    ways, want = {c: way(c) for c in to}, np.zeros(z.shape)
+    for (i, j), c in at.items():
+        for d in D8.neighbours():
+            if (n := at.get((i + d.di, j + d.dj))) is not None:
+                other = {x for x, _ in ways[n]}
+                want[i, j] = max(want[i, j], next((s for x, s in ways[c] if x in other), ways[c][-1][1]))
+    got = arr(ridges.dist2conf_max(table), "dist", z.shape)
+    assert np.allclose(got, want)
+
+
+def test_neighbourhood_across_blocks(spark, monkeypatch):
+    z = np.random.default_rng(4).integers(0, 9, (9, 7))
+    cells = grid.cells_from_array(spark, z.astype(float).tolist())
+    monkeypatch.setattr(stencil, "BLOCK_BITS", 1)
+    near = stencil.neighbourhood(cells, ["z"])
+    shuffles = near._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+    assert shuffles == 1  # by block; a partition held a whole line before
+    got = {(r.i, r.j): [r[f"nb_{d.di + 1}{d.dj + 1}"] for d in D8.neighbours()] for r in near.collect()}
+    assert len(got) == z.size
+    for (i, j), found in got.items():
+        for d, n in zip(D8.neighbours(), found):
+            inside = 0 <= i + d.di < 9 and 0 <= j + d.dj < 7
+            assert (n is not None) == inside and (not inside or n.z == z[i + d.di, j + d.dj])
+
+
+def test_dist2ridge_takes_few_jobs(spark):
+    z = np.random.default_rng(9).integers(0, 50, (8, 8)).astype(float)
+    table = iterate.durable(flow.simple_d8(grid.cells_from_array(spark, z.tolist())))
+    before = jobs(spark, lambda: ridges.ridgedir(table).count())[1]
+    got, after = jobs(spark, lambda: ridges.dist2ridge(table).count())
+    assert got == 64 and after <= before + 40  # the ridge directions are made once
