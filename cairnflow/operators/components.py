@@ -6,9 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..plans.iterate import connected_components, durable
+from ..plans.iterate import connected_components, durable, ranked
 from .directions import D8
 from .grid import shapes
 from .stencil import neighbour, neighbourhood
@@ -75,7 +74,7 @@ def mask_areas(cells: DataFrame, mask: Column) -> DataFrame:
     """grid_id, i, j, label: components of the mask, numbered by their first cell column by column; 0 outside."""
     comps = component_of(cells, mask)
     ranks = comps.groupBy("grid_id", "comp").agg(F.min("cid").alias("first"))
-    ranks = ranks.withColumn("label", F.row_number().over(W.partitionBy("grid_id").orderBy("first")))
+    ranks = ranked(ranks, ["grid_id"], ["first"], "label")
     labelled = comps.join(ranks, ["grid_id", "comp"]).select("grid_id", "cid", "label")
     return cells.join(labelled, ["grid_id", "cid"], "left").select("grid_id", "i", "j", F.coalesce("label", F.lit(0)).alias("label"))
 
@@ -91,7 +90,7 @@ def ocean_basins(cells: DataFrame, level: float = 0, flood_below: bool = True) -
     i, j, nr, nc = (F.col(c) for c in ("i", "j", "nrows", "ncols"))
     place = F.when(i == 0, j).when(i == nr - 1, nc + j).when(j == 0, 2 * nc + i).when(j == nc - 1, 2 * nc + nr + i)
     first = comps.groupBy("grid_id", "comp").agg(F.min(place).alias("place")).where("place is not null")
-    ranks = first.withColumn("label", F.row_number().over(W.partitionBy("grid_id").orderBy("place")))
+    ranks = ranked(first, ["grid_id"], ["place"], "label")
     labelled = comps.join(ranks, ["grid_id", "comp"]).select("grid_id", "cid", "label")
     return cells.join(labelled, ["grid_id", "cid"], "left").select("grid_id", "i", "j", F.coalesce("label", F.lit(0)).alias("label"))
 

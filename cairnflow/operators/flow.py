@@ -8,9 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..plans.iterate import durable, on_cycles
+from ..plans.iterate import durable, on_cycles, ranked
 from .components import component_of
 from .directions import D8, D8Directions
 from .grid import shapes, with_ids
@@ -44,7 +43,7 @@ def flat_labels(edged: DataFrame) -> DataFrame:
     seed = F.col("valid") & (F.col("low_edge") | F.col("ds").isNull())
     joined = edged.join(comps.select("grid_id", "cid", "comp"), ["grid_id", "cid"], "left")
     first = joined.where(seed).groupBy("grid_id", "comp").agg(F.min("cid").alias("first"))
-    ranks = first.withColumn("label", F.row_number().over(W.partitionBy("grid_id").orderBy("first"))).select("grid_id", "comp", "label")
+    ranks = ranked(first, ["grid_id"], ["first"], "label").select("grid_id", "comp", "label")
     return joined.join(ranks, ["grid_id", "comp"], "left").select(*edged.columns, F.coalesce("label", F.lit(0)).alias("label"))
 
 

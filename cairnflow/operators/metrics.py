@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..plans.iterate import descend, durable, gather_upstream
+from ..plans.iterate import descend, durable, gather_upstream, ranked
 
 KEY = ["grid_id"]
 
@@ -52,7 +51,7 @@ def watersheds(flow: DataFrame) -> DataFrame:
     """grid_id, i, j, label: the rank of the cell's sink, column by column; 0 where no sink is reached."""
     roots = descend(flow.where("valid"), KEY, F.lit(1.0)).select("grid_id", "cid", "root")
     sinks = flow.where(_sinks(flow)).select("grid_id", F.col("cid").alias("root"))
-    ranks = sinks.withColumn("label", F.row_number().over(W.partitionBy("grid_id").orderBy("root")))
+    ranks = ranked(sinks, KEY, ["root"], "label")
     got = roots.join(ranks, ["grid_id", "root"], "left").select("grid_id", "cid", "label")
     return flow.select("grid_id", "i", "j", "cid").join(got, ["grid_id", "cid"], "left").select("grid_id", "i", "j", "cid", F.coalesce("label", F.lit(0)).alias("label"))
 

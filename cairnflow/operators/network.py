@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as geo
-from ..plans.iterate import descend, durable
+from ..plans.iterate import descend, durable, ranked
 from .errors import ArcRangeError, FlowCycleError, IncompleteFlowGraphError
 
 IJ = ("i", "j")
@@ -55,9 +55,8 @@ def construct_flowgraph(flow: DataFrame, orders: DataFrame, min_order: int = 2,
     paths = inner.unionByName(last).groupBy("grid_id", "root").agg(F.array_sort(F.collect_list(vertex)).alias("v"))
     head_order = linked.select("grid_id", F.col("cid").alias("root"), "ord")
     arcs = paths.where(F.size("v") > 1).join(head_order, ["grid_id", "root"])
-    arcs = arcs.select(F.col("grid_id").alias("graph_id"), "ord", F.transform("v", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))).alias("path"), "root")
-    number = F.row_number().over(W.partitionBy("graph_id").orderBy("ord", F.size("path"), "root")) - 1
-    out = arcs.select("graph_id", number.alias("arc_id"), "ord", "path")
+    arcs = arcs.select(F.col("grid_id").alias("graph_id"), "ord", F.transform("v", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))).alias("path"), "root", F.size("v").alias("len"))
+    out = ranked(arcs, ["graph_id"], ["ord", "len", "root"], "n").select("graph_id", (F.col("n") - 1).alias("arc_id"), "ord", "path")
     if check:
         missing = uncovered_edges(cells, out).limit(20).collect()
         if missing:

@@ -102,6 +102,10 @@ def isolation(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     level = 2
     while True:
         side = 1 << level
+        # only cells above the lowest of those that still look can be found; they get fewer as the looking ones do
+        lowest = todo.agg(F.min("z").alias("z")).first().z
+        if lowest is not None:
+            high = durable(high.where(F.col("z") > lowest))
         block = lambda c: F.shiftright(c, level)  # noqa: B023, E731
         tops = high.groupBy("grid_id", block("i").alias("bi"), block("j").alias("bj")).agg(F.max("z").alias("top"))
         around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -330,6 +331,16 @@ def _gather_rounds(tree: DataFrame, k: list[str], values: dict[str, str], max_ro
     return now.select(*k, "cid", *values)
 
 
+def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: the row's number from 1 in ``order`` within ``key``. Ranges are numbered apart and moved by the rows before them."""
+    k = list(key)
+    placed = durable(df.repartitionByRange(*k, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*k, "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(*k, "_part", F.coalesce(F.sum("_n").over(W.partitionBy(*k).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(W.partitionBy("_part", *k).orderBy(*order))
+    return placed.join(before, [*k, "_part"]).select(*df.columns, (F.col("_before") + at).cast("int").alias(name))
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of a link (u, v); component is its smallest reachable node.
 

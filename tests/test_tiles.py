@@ -1,19 +1,22 @@
 """Plans that solve tiles first: the same results for any size of tile, in few jobs."""
 
+import uuid
+
 import numpy as np
 import pytest
 
-from cairnflow.operators import flow, grid, metrics, ridges, stencil
+from cairnflow.operators import flow, grid, mesh, metrics, ridges, stencil, terrain
 from cairnflow.operators.directions import D8
 from cairnflow.plans import iterate
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .test_raster import arr, coded, down
 
 
 def jobs(spark, run):
     """How many Spark jobs a call takes."""
-    sc, group = spark.sparkContext, f"count-{id(run)}"
+    sc, group = spark.sparkContext, f"count-{uuid.uuid4()}"
     sc.setJobGroup(group, "")
     try:
         out = run()
@@ -132,3 +135,51 @@ def test_dist2ridge_takes_few_jobs(spark):
     before = jobs(spark, lambda: ridges.ridgedir(table).count())[1]
     got, after = jobs(spark, lambda: ridges.dist2ridge(table).count())
     assert got == 64 and after <= before + 40  # the ridge directions are made once
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_over_many_partitions(spark):
+    df = spark.range(0, 500).select((F.col("id") % 3).cast("string").alias("grid_id"), ((F.col("id") * 7919) % 1009).alias("v"))
+    w = W.partitionBy("grid_id").orderBy("v")
+    got = {(r.grid_id, r.v): r.n for r in iterate.ranked(df, ["grid_id"], ["v"], "n").collect()}
+    assert got == {(r.grid_id, r.v): r.n for r in df.withColumn("n", F.row_number().over(w)).collect()}
+    assert sorted(r.n for r in iterate.ranked(df, [], ["grid_id", "v"], "n").collect()) == list(range(1, 501))
+
+
+def test_perimeter_edges_meet_vertices_by_stretches(spark):
+    n = 3000
+    path = [(0.0, 0.0), (float(n - 1), 0.0)]
+    rows = [("g", 0, 1, path)] + [("g", k, 1, [(float(i), 0.0), (float(i), 1.0)]) for k, i in enumerate((5, 1023, 1024, 2100), 1)]
+    arcs = spark.createDataFrame(rows, "graph_id string, arc_id int, ord int, path array<struct<i:double,j:double>>")
+    verts, edges = mesh.constraint_graph(arcs, spark.createDataFrame([("g", mesh.VALLEY)], "graph_id string, kind int"), (n, 4))
+    assert "NestedLoop" not in plan_of(edges)  # every perimeter edge met every perimeter vertex before
+    at = {r.vid: (r.i, r.j) for r in verts.collect()}
+    got = {(at[r.u], at[r.v]): r.kinds for r in edges.collect()}
+    side = [(i, 0) for i in (0, 5, 1023, 1024, 2100, n - 1)]
+    assert {e for e in got if e[0][1] == e[1][1] == 0} == set(zip(side, side[1:])) and got[side[0], side[1]] == mesh.VALLEY | mesh.BOUNDARY
+    assert mesh.validate_constraints(verts, edges, (n, 4)).where("problem like '%boundary%'").isEmpty()
+
+
+def test_repeated_segments_cross_alike(spark):
+    verts = spark.createDataFrame([("m", 0, 0, 0), ("m", 1, 4, 0), ("m", 2, 4, 4), ("m", 3, 0, 4), ("x", 0, 0, 0), ("x", 1, 4, 0), ("x", 2, 4, 4)], "mesh_id string, vid int, x long, y long")
+    faces = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 0, 2, 3), ("x", 0, 0, 1, 2)], "mesh_id string, fid int, a int, b int, c int")
+    segments = spark.createDataFrame([("m", k, 1, 3) for k in range(6)] + [("m", 9, 0, 1)], "mesh_id string, cid long, p int, q int")
+    got = mesh.crossing_edges(verts, faces, segments)
+    assert sorted(tuple(r) for r in got.collect()) == [("m", k, 0, 1, 0, 2) for k in range(6)]
+    assert plan_of(got).count("LeftSemi") >= 1  # meshes without segments are left out
+
+
+def test_isolation_looks_at_higher_cells_alone(spark, monkeypatch):
+    z = np.random.default_rng(1).permutation(40 * 40).reshape(40, 40).astype(float)
+    kept, keep = [], terrain.durable
+    monkeypatch.setattr(terrain, "durable", lambda df: kept.append((df.columns, n.count())) or n if (n := keep(df)) is not None else n)
+    got = arr(terrain.isolation(grid.cells_from_array(spark, z.tolist())), "iso", z.shape)
+    i, j = np.mgrid[:40, :40]
+    for a, b in ((3, 5), (20, 20), (39, 39), *zip(*np.nonzero(z > 1560))):
+        d2 = ((i - a) ** 2 + (j - b) ** 2)[z > z[a, b]]
+        assert got[a, b] == pytest.approx(np.sqrt(d2.min()) if len(d2) else 0.0)
+    cells = [n for columns, n in kept if columns == ["grid_id", "i", "j", "cid", "z", "valid"]]
+    assert len(cells) > 2 and cells[0] == 1600 and cells[-1] < 200
