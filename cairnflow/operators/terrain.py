@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.iterate import durable
-from .directions import D8, D8Directions
+from .directions import D8
 from .grid import shapes
+from .prominence import prominence, prominence_features  # noqa: F401
 from .stencil import any_neighbour, neighbour, neighbourhood
 
 
@@ -130,116 +128,6 @@ def isolation(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     return out.select("grid_id", "i", "j", iso.alias("iso"), F.coalesce("hit.i", F.lit(-1)).alias("ilp_i"), F.coalesce("hit.j", F.lit(-1)).alias("ilp_j"), censored.alias("censored"))
 
 
-def _sweep(z: np.ndarray, edges: list[list[int]], order: np.ndarray) -> tuple[np.ndarray, list[dict]]:
-    """Prominence of flats by a descending sweep with union-find.
-
-    z: elevation of each flat; edges: adjacent flats; order: flats from the highest. Returns
-    each flat's prominence (-1 not closed by a higher domain, 0 not a summit) and features.
-    """
-    n = len(z)
-    root = np.full(n, -1)
-    prom = np.zeros(n)
-    tops: dict[int, list[int]] = {}  # domain -> features of its equal tops
-    current: dict[int, int] = {}  # domain -> the feature at its lower end
-    features: list[dict] = []
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    for f in order:
-        near = sorted({find(b) for b in edges[f] if root[b] >= 0})
-        root[f] = f
-        if not near:
-            features.append({"flat": f, "kind": 1, "key_saddle": -1, "parent": -1})
-            tops[f], current[f] = [len(features) - 1], len(features) - 1
-            prom[f] = -1
-            continue
-        if len(near) == 1:
-            root[f] = near[0]
-            continue
-        features.append({"flat": f, "kind": 2, "key_saddle": -1, "parent": -1})
-        me = len(features) - 1
-        height = {d: z[features[tops[d][0]]["flat"]] for d in near}
-        best = max(height.values())
-        winner = next(d for d in near if height[d] == best)
-        for d in near:
-            features[current[d]]["parent"] = me
-            if height[d] < best:
-                for t in tops[d]:
-                    features[t]["key_saddle"] = me
-                    prom[features[t]["flat"]] = height[d] - z[f]
-            elif d != winner:
-                tops[winner].extend(tops[d])
-            root[d] = winner
-        root[f] = winner
-        current[winner] = me
-    return prom, features
-
-
-def _prominence_of_grid(cells: pd.DataFrame, scheme: D8Directions) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Prominence and features of one grid (i, j, z, valid)."""
-    ni, nj = int(cells.i.max()) + 1, int(cells.j.max()) + 1
-    z = np.full((ni, nj), np.nan)
-    ok = cells.valid.to_numpy(bool)
-    z[cells.i.to_numpy()[ok], cells.j.to_numpy()[ok]] = cells.z.to_numpy(float)[ok].astype(np.float32)
-    offsets = [(d.di, d.dj) for d in scheme.neighbours()]
-    flat = np.full((ni, nj), -1)
-    members: list[list[tuple[int, int]]] = []
-    for j, i in ((j, i) for j in range(nj) for i in range(ni)):
-        if flat[i, j] >= 0 or np.isnan(z[i, j]):
-            continue
-        flat[i, j], stack, found = len(members), [(i, j)], []
-        while stack:
-            a, b = stack.pop()
-            found.append((a, b))
-            for di, dj in offsets:
-                c, d = a + di, b + dj
-                if 0 <= c < ni and 0 <= d < nj and flat[c, d] < 0 and z[c, d] == z[a, b]:
-                    flat[c, d] = len(members)
-                    stack.append((c, d))
-        members.append(found)
-    level = np.array([z[m[0]] for m in members])
-    edges: list[list[int]] = [[] for _ in members]
-    for a, m in enumerate(members):
-        edges[a] = sorted({int(flat[i + di, j + dj]) for i, j in m for di, dj in offsets if 0 <= i + di < ni and 0 <= j + dj < nj and flat[i + di, j + dj] >= 0} - {a})
-    first = np.array([min((j, i) for i, j in m)[0] * ni + min((j, i) for i, j in m)[1] for m in members]) if members else np.zeros(0)
-    order = np.lexsort((first, -level))
-    prom, features = _sweep(level, edges, order)
-    value = np.full((ni, nj), -1.0)
-    for a, m in enumerate(members):
-        for i, j in m:
-            value[i, j] = prom[a]
-    rows = []
-    for k, f in enumerate(features):
-        m = np.array(members[f["flat"]], float)
-        d2 = ((m - m.mean(0)) ** 2).sum(1)
-        best = min(zip(d2, m[:, 1] * ni + m[:, 0], range(len(m))))[2]
-        rows.append((k, f["kind"], int(m[best, 0]), int(m[best, 1]), f["key_saddle"], f["parent"]))
-    proms = pd.DataFrame({"i": cells.i, "j": cells.j, "prom": value[cells.i, cells.j]})
-    return proms, pd.DataFrame(rows, columns=["fid", "kind", "i", "j", "key_saddle", "parent"])
-
-
-def prominence(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:
-    """grid_id, i, j, prom: -1 invalid or highest of its region, 0 no summit. A task per grid."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _prominence_of_grid(pdf, scheme)[0].assign(grid_id=pdf.grid_id.iloc[0])[["grid_id", "i", "j", "prom"]]
-
-    return cells.select("grid_id", "i", "j", F.col("z").cast("double").alias("z"), "valid").groupBy("grid_id").applyInPandas(run, "grid_id string, i int, j int, prom double")
-
-
-def prominence_features(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:
-    """grid_id, fid, kind (1 peak, 2 saddle), i, j, key_saddle, parent: the divide tree."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _prominence_of_grid(pdf, scheme)[1].assign(grid_id=pdf.grid_id.iloc[0])[["grid_id", "fid", "kind", "i", "j", "key_saddle", "parent"]]
-
-    return cells.select("grid_id", "i", "j", F.col("z").cast("double").alias("z"), "valid").groupBy("grid_id").applyInPandas(run, "grid_id string, fid int, kind int, i int, j int, key_saddle int, parent int")
-
-
 def float32_merges(cells: DataFrame) -> int:
     """How many distinct elevations coincide in 32 bits (then flats grow)."""
     r = cells.where("valid").agg((F.count_distinct("z") - F.count_distinct(F.col("z").cast("float"))).alias("n")).first()

@@ -5,7 +5,7 @@ import uuid
 import numpy as np
 import pytest
 
-from cairnflow.operators import flow, grid, mesh, metrics, ridges, stencil, terrain
+from cairnflow.operators import flow, grid, mesh, metrics, prominence, ridges, stencil, terrain
 from cairnflow.operators.directions import D8
 from cairnflow.plans import iterate
 from pyspark.sql import functions as F
@@ -183,3 +183,63 @@ def test_isolation_looks_at_higher_cells_alone(spark, monkeypatch):
         assert got[a, b] == pytest.approx(np.sqrt(d2.min()) if len(d2) else 0.0)
     cells = [n for columns, n in kept if columns == ["grid_id", "i", "j", "cid", "z", "valid"]]
     assert len(cells) > 2 and cells[0] == 1600 and cells[-1] < 200
+
+
+def divide_tree(z, ok):
+    """(prominence, features) of a small raster: domains as sets, joined flat by flat from the highest."""
+    ni, nj = z.shape
+    near = lambda c: [(c[0] + d.di, c[1] + d.dj) for d in D8.neighbours() if 0 <= c[0] + d.di < ni and 0 <= c[1] + d.dj < nj and ok[c[0] + d.di, c[1] + d.dj]]
+    flats, seen = [], set()
+    for c in sorted(((i, j) for i in range(ni) for j in range(nj) if ok[i, j]), key=lambda c: (c[1], c[0])):
+        if c not in seen:
+            flat, stack = {c}, [c]
+            while stack:
+                more = [n for n in near(stack.pop()) if z[n] == z[c] and n not in flat]
+                flat |= set(more)
+                stack += more
+            seen |= flat
+            flats.append((-z[c], c[1], c[0], flat))
+    prom, features, domains = np.where(ok, 0.0, -1.0), [], []
+    for down, _, _, flat in sorted(flats, key=lambda x: x[:3]):
+        met = [d for d in domains if any(n in d["cells"] for c in flat for n in near(c))]
+        domains = [d for d in domains if not any(d is m for m in met)]
+        new = {"cells": set(flat).union(*(d["cells"] for d in met)), "z": max((d["z"] for d in met), default=-down)}
+        if len(met) != 1:
+            middle = np.mean(list(flat), axis=0)
+            features.append([1 if not met else 2, *min(flat, key=lambda c: (((np.array(c) - middle) ** 2).sum(), c[1], c[0])), -1, -1])
+            for d in met:
+                features[d["last"]][4] = len(features) - 1
+                for k, top in d["tops"] if d["z"] < new["z"] else ():
+                    features[k][3] = len(features) - 1
+                    for c in top:
+                        prom[c] = d["z"] + down
+        k = len(features) - 1
+        new["last"] = k if len(met) != 1 else met[0]["last"]
+        new["tops"] = [t for d in met if d["z"] == new["z"] for t in d["tops"]] or [(k, flat)]
+        domains.append(new)
+    for d in domains:
+        for _, top in d["tops"]:
+            for c in top:
+                prom[c] = -1
+    return prom, features
+
+
+@pytest.mark.parametrize("levels", [3, 50])
+def test_prominence_across_tiles(spark, tiled, levels):
+    rng = np.random.default_rng(levels)
+    z, ok = rng.integers(0, levels, (13, 11)).astype(float), rng.random((13, 11)) > 0.1
+    cells = grid.cells_from_array(spark, z.tolist(), ok.tolist())
+    prom, features = divide_tree(z, ok)
+    assert (arr(terrain.prominence(cells), "prom", z.shape) == prom).all()
+    got = terrain.prominence_features(cells).orderBy("fid").collect()
+    assert [[r.kind, r.i, r.j, r.key_saddle, r.parent] for r in got] == features
+
+
+def test_prominence_leaves_a_small_graph_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "TILE_BITS", 4)
+    z = np.random.default_rng(2).permutation(64 * 48).reshape(64, 48).astype(float)
+    cells = grid.cells_from_array(spark, z.tolist())
+    rows, _ = prominence.swept(cells, D8, False)
+    shared = sum(1 for i in range(64) for j in range(48) if (i and i % 16 == 0) or (j and j % 16 == 0))
+    kinds = {r.t: r["count"] for r in rows.groupBy("t").count().collect()}
+    assert kinds[prominence.CELL] == 64 * 48 and kinds[prominence.MEETING] + kinds[prominence.TOP] < 3 * shared
