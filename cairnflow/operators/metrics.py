@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import descend, durable, gather_upstream, ranked
+from ..plans.streams import orders, source_ways
 
 KEY = ["grid_id"]
 
@@ -35,6 +36,11 @@ def l1_step(flow: DataFrame) -> DataFrame:
     return flow.withColumn("step", (F.abs(di) + F.abs(dj)).cast("double"))
 
 
+def _places() -> list[Column]:
+    """i and j of a cell id."""
+    return [F.col("cid").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i"), F.shiftright("cid", 31).cast("int").alias("j")]
+
+
 def accumulation(flow: DataFrame, weight: Column | None = None) -> DataFrame:
     """grid_id, i, j, cid, accum: the weights of all cells that drain through each, itself included; null on invalid cells."""
     w = F.coalesce(weight.cast("double") if weight is not None else F.lit(1.0), F.lit(0.0))
@@ -73,9 +79,14 @@ def dist2source(flow: DataFrame, coordinates: bool = False, l1: bool = False) ->
     """grid_id, i, j, dist: length of the upstream way with most steps, ties by the larger source id; 0 on sources, null on invalid cells.
 
     Steps from a source to a cell are the difference of their depths, so the best source is
-    the greatest (depth, id) in the cell's subtree: an upstream maximum.
+    the greatest (depth, id) in the cell's subtree: an upstream maximum. Tiles settle it in two passes; gatherings of
+    depths do it where too much lies between tiles.
     """
     valid = flow.where("valid")
+    lengths = l1_step(flow) if l1 else step_length(flow, coordinates)
+    got = source_ways(lengths)
+    if got is not None:
+        return got.select("grid_id", *_places(), "cid", "dist")
     fed = valid.where("ds is not null").select("grid_id", F.col("ds").alias("cid")).distinct().withColumn("fed", F.lit(True))
     stepped = l1_step(valid) if l1 else step_length(valid, coordinates)
     depths = durable(descend(stepped, KEY, F.col("step")))
@@ -90,8 +101,12 @@ def strahler(flow: DataFrame) -> DataFrame:
 
     A cell has order k + 1 or more exactly if it is, or lies below, a cell with two
     tributaries of order k or more. So each order is one grouped count and one upstream
-    gathering over the cells of the order before, which get fewer by a factor each time.
+    gathering over the cells of the order before, which get fewer by a factor each time. That is the way where too much
+    lies between tiles for one task; else tiles settle the orders in two passes.
     """
+    got = orders(flow)
+    if got is not None:
+        return got.select("grid_id", *_places(), "cid", "ord")
     valid = flow.where("valid").select("grid_id", "cid", "ds")
     ends = descend(valid, KEY, F.lit(1.0))
     now = durable(valid.join(ends.where("root is not null").select("grid_id", "cid"), ["grid_id", "cid"], "left_semi"))

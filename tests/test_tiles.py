@@ -243,3 +243,24 @@ def test_prominence_leaves_a_small_graph_to_one_task(spark, monkeypatch):
     shared = sum(1 for i in range(64) for j in range(48) if (i and i % 16 == 0) or (j and j % 16 == 0))
     kinds = {r.t: r["count"] for r in rows.groupBy("t").count().collect()}
     assert kinds[prominence.CELL] == 64 * 48 and kinds[prominence.MEETING] + kinds[prominence.TOP] < 3 * shared
+
+
+def test_orders_and_source_ways_take_two_passes(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "TILE_BITS", 2)
+    table, _ = field(spark, 11, acyclic=True)
+    table = table.localCheckpoint()
+    assert metrics.strahler(table).agg(F.max("ord")).first()[0] > 1
+    for run in (metrics.strahler, metrics.dist2source):
+        _, n = jobs(spark, lambda: run(table).collect())
+        assert n <= 16  # a gathering per order or of depths took 30 and more
+
+
+def test_order_grows_along_a_way_across_tiles(spark, monkeypatch):
+    # tributaries of orders 1, 2 and 1 join a way that crosses tiles: 2 at the first, 3 at the second, still 3 at the third
+    monkeypatch.setattr(iterate, "TILE_BITS", 1)
+    codes = [[0] * 9 for _ in range(4)]
+    codes[3] = [1] * 8 + [0]
+    codes[2][1] = codes[2][4] = codes[2][7] = 3
+    codes[1][4], codes[1][3] = 3, 2
+    table = coded(spark, codes)
+    assert arr(metrics.strahler(table), "ord", (4, 9))[3].tolist() == [1, 2, 2, 2, 3, 3, 3, 3, 3]
