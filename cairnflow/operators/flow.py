@@ -176,30 +176,40 @@ def acyclic(flow: DataFrame) -> DataFrame:
 
 def _flood(z: np.ndarray, ok: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float]]:
     """Priority flood of one tile from ``seeds``: filled levels, watershed labels and spill heights between labels."""
-    filled, label = z.copy(), np.full(z.shape, -1, np.int64)
-    heap = []
-    for n, (i, j) in enumerate(seeds):
-        heapq.heappush(heap, (float(z[i, j]), n, i, j))
-        label[i, j] = n
-    spill: dict[tuple[int, int], float] = {}
-    order = len(seeds)
     ni, nj = z.shape
+    wide = nj + 2  # flat lists with a rim of cells that don't count
+    steps = [d.di * wide + d.dj for d in D8.neighbours()]
+    flat = lambda x, rim: np.pad(x, 1, constant_values=rim).ravel().tolist()
+    height, free = flat(z, np.nan), flat(ok, False)
+    label, heap, n = [-1] * len(height), [], len(seeds)
+    for k, (i, j) in enumerate(seeds):
+        c = (i + 1) * wide + j + 1
+        heap.append((height[c], k, c))
+        label[c] = k
+    heapq.heapify(heap)
+    filled, order = height.copy(), n
+    spill: dict[int, float] = {}
     while heap:
-        h, _, i, j = heapq.heappop(heap)
-        for d in D8.neighbours():
-            a, b = i + d.di, j + d.dj
-            if not (0 <= a < ni and 0 <= b < nj) or not ok[a, b]:
+        h, _, c = heapq.heappop(heap)
+        mine = label[c]
+        for s in steps:
+            a = c + s
+            if not free[a]:
                 continue
-            if label[a, b] < 0:
-                label[a, b] = label[i, j]
-                filled[a, b] = max(z[a, b], h)
-                heapq.heappush(heap, (float(filled[a, b]), order, a, b))
+            theirs = label[a]
+            if theirs < 0:
+                label[a] = mine
+                if height[a] < h:
+                    filled[a] = h
+                heapq.heappush(heap, (filled[a], order, a))
                 order += 1
-            elif label[a, b] != label[i, j]:
-                key = (min(label[a, b], label[i, j]), max(label[a, b], label[i, j]))
-                level = max(h, float(filled[a, b]))
-                spill[key] = min(spill.get(key, np.inf), level)
-    return filled, label, spill
+            elif theirs != mine:
+                key = theirs * n + mine if theirs < mine else mine * n + theirs
+                level = filled[a] if filled[a] > h else h
+                if level < spill.get(key, np.inf):
+                    spill[key] = level
+    back = lambda x, kind: np.array(x, kind).reshape(ni + 2, wide)[1:-1, 1:-1]
+    return back(filled, float), back(label, np.int64), {divmod(key, n): level for key, level in spill.items()}
 
 
 def fill_depressions(cells: DataFrame, tile: int = 256, extra_sinks: DataFrame | None = None) -> DataFrame:
@@ -231,8 +241,9 @@ def fill_depressions(cells: DataFrame, tile: int = 256, extra_sinks: DataFrame |
         rim[[0, -1], :], rim[:, [0, -1]] = True, True
         seeds = [(int(a), int(b)) for a, b in zip(*np.nonzero(ok & (rim | sink)))]
         filled, label, spill = _flood(z, ok, seeds)
-        ids = {(int(a), int(b)): int(c) for a, b, c in zip(i, j, pdf.cid.to_numpy())}
-        name = np.array([ids[s] for s in seeds], np.int64)  # a watershed is known by its seed cell
+        ids = np.full((ni, nj), -1, np.int64)
+        ids[i, j] = pdf.cid.to_numpy()
+        name = ids[ok & (rim | sink)]  # a watershed is known by its seed cell
         rows = pdf[["grid_id", "i", "j", "cid"]].copy()
         lab = label[i, j]
         rows["w"] = filled[i, j]
@@ -240,7 +251,8 @@ def fill_depressions(cells: DataFrame, tile: int = 256, extra_sinks: DataFrame |
         rows["rim"] = rim[i, j] & ok[i, j]
         rows["sink"] = sink[i, j]
         rows["a"], rows["b"], rows["level"] = -1, -1, np.nan
-        edges = pd.DataFrame([(pdf.grid_id.iloc[0], -1, -1, -1, np.nan, -1, False, False, int(name[x]), int(name[y]), h) for (x, y), h in spill.items()], columns=rows.columns)
+        x, y = np.array(list(spill), np.int64).reshape(-1, 2).T
+        edges = pd.DataFrame({"grid_id": pdf.grid_id.iloc[0], "i": -1, "j": -1, "cid": -1, "w": np.nan, "shed": -1, "rim": False, "sink": False, "a": name[x], "b": name[y], "level": list(spill.values())})
         return pd.concat([rows, edges], ignore_index=True) if len(edges) else rows
 
     kinds = "grid_id string, i int, j int, cid long, w double, shed long, rim boolean, sink boolean, a long, b long, level double"

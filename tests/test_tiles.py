@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cairnflow.operators import flow, grid, mesh, metrics, prominence, ridges, stencil, terrain
-from cairnflow.operators.directions import D8
+from cairnflow.operators.directions import D8, D8Directions
 from cairnflow.plans import iterate
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -264,3 +264,12 @@ def test_order_grows_along_a_way_across_tiles(spark, monkeypatch):
     codes[1][4], codes[1][3] = 3, 2
     table = coded(spark, codes)
     assert arr(metrics.strahler(table), "ord", (4, 9))[3].tolist() == [1, 2, 2, 2, 3, 3, 3, 3, 3]
+
+
+def test_flood_looks_up_directions_once(monkeypatch):
+    calls, all_ = [], D8Directions.all
+    monkeypatch.setattr(D8Directions, "all", lambda self: calls.append(1) or all_(self))
+    z = np.array([[3.0, 3, 3, 3], [3, 1, 2, 3], [3, 3, 3, 3]])
+    rim = [(i, j) for i in range(3) for j in range(4) if (i, j) not in ((1, 1), (1, 2))]
+    filled, label, spill = flow._flood(z, np.ones(z.shape, bool), rim)
+    assert (filled == 3).all() and (label >= 0).all() and set(spill.values()) == {3.0} and len(calls) == 1
