@@ -252,7 +252,7 @@ def test_orders_and_source_ways_take_two_passes(spark, monkeypatch):
     assert metrics.strahler(table).agg(F.max("ord")).first()[0] > 1
     for run in (metrics.strahler, metrics.dist2source):
         _, n = jobs(spark, lambda: run(table).collect())
-        assert n <= 16  # a gathering per order or of depths took 30 and more
+        assert n <= 16  # a gathering per order adds jobs with each order
 
 
 def test_order_grows_along_a_way_across_tiles(spark, monkeypatch):
