@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import iterate
 from ..plans.iterate import connected_components, durable, ranked
 from .directions import D8
 from .grid import shapes
@@ -29,6 +30,26 @@ def _merge(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
+def joined_roots(links: DataFrame) -> DataFrame:
+    """(grid_id, root, comp) for every end of a link (grid_id, root, far): its component by the smallest root.
+
+    One task per grid solves up to ``iterate.ALONE`` links, rounds solve more.
+    """
+    links = durable(links.select("grid_id", F.least("root", "far").alias("root"), F.greatest("root", "far").alias("far")).distinct())
+    if links.count() > iterate.ALONE:
+        node = lambda c: F.struct("grid_id", F.col(c).alias("cid"))
+        found = connected_components(links.select(node("root").alias("u"), node("far").alias("v")))
+        return found.select(F.col("node.grid_id").alias("grid_id"), F.col("node.cid").alias("root"), F.col("component.cid").alias("comp"))
+
+    def solve(t: pa.Table) -> pa.Table:
+        ends = [t.column(c).to_numpy() for c in ("root", "far")]
+        roots, at = np.unique(np.concatenate(ends), return_inverse=True)
+        comp = roots[_merge(len(roots), *np.split(at, 2))]
+        return pa.table({"grid_id": pa.chunked_array([t.column("grid_id").combine_chunks().take(pa.array(np.zeros(len(roots), np.int64)))]), "root": pa.array(roots), "comp": pa.array(comp)})
+
+    return links.groupBy("grid_id").applyInArrow(solve, "grid_id string, root long, comp long")
+
+
 def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[str, ...] = (), tile: int = 256) -> DataFrame:
     """grid_id, i, j, cid, comp of the cells where ``member`` holds: 8-connected components by their smallest cid.
 
@@ -62,10 +83,9 @@ def component_of(cells: DataFrame, member: Column, joined=None, values: tuple[st
     tiles = base.groupBy("grid_id", F.floor(F.col("i") / tile), F.floor(F.col("j") / tile))
     kept = durable(tiles.applyInArrow(merge, "grid_id string, i int, j int, cid long, root long, away array<long>"))
     node = lambda c: F.struct("grid_id", F.col(c).alias("cid"))
+    away = kept.where(F.size("away") > 0).select("grid_id", "root", F.explode("away").alias("t"))
     there = kept.select("grid_id", F.col("cid").alias("t"), F.col("root").alias("far"))
-    crossing = kept.where(F.size("away") > 0).select("grid_id", "root", F.explode("away").alias("t")).join(there, ["grid_id", "t"])
-    found = connected_components(crossing.select(node("root").alias("u"), node("far").alias("v")))
-    found = found.select(F.col("node.grid_id").alias("grid_id"), F.col("node.cid").alias("root"), F.col("component.cid").alias("comp"))
+    found = joined_roots(away.join(there, ["grid_id", "t"]))
     out = kept.join(found, ["grid_id", "root"], "left")
     return out.select("grid_id", "i", "j", "cid", F.coalesce("comp", "root").alias("comp"))
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, ShortType, StructField, StructType
 
 from ..plans.iterate import durable, on_cycles, ranked
-from .components import component_of
+from . import flats as tiled
+from .components import component_of, joined_roots
 from .directions import D8, D8Directions
 from .grid import shapes, with_ids
-from .stencil import any_neighbour, neighbour, neighbourhood, with_lowest
+from .stencil import any_neighbour, neighbourhood, with_lowest
 
 
 def simple_d8(cells: DataFrame, scheme: D8Directions = D8) -> DataFrame:
@@ -47,34 +51,51 @@ def flat_labels(edged: DataFrame) -> DataFrame:
     return joined.join(ranks, ["grid_id", "comp"], "left").select(*edged.columns, F.coalesce("label", F.lit(0)).alias("label"))
 
 
+def _blocks(c: str, bits: int, halo: int) -> Column:
+    """The tiles, by row or column, of 2**bits rows or columns and a rim of ``halo`` that hold a cell: a row for each."""
+    return F.explode(F.sequence(F.shiftright(F.greatest(F.col(c) - halo, F.lit(0)), bits), F.shiftright(F.col(c) + halo, bits)))
+
+
+def _own(key: tuple, t: pa.Table, bits: int) -> np.ndarray:
+    """Which cells lie in the tile and not in its rim."""
+    return (t.column("i").to_numpy() >> bits == key[1].as_py()) & (t.column("j").to_numpy() >> bits == key[2].as_py())
+
+
 def layers(labelled: DataFrame, seeds: Column, name: str, max_rounds: int = 100_000) -> DataFrame:
     """Add ``name``: 1 on the seeds, then one more per step within the same label; 0 if not reached.
 
-    Each round is a stencil over the cells of flats that a seed reaches, cut durably.
+    Each round grows the tiles apart, from the layers that their cells and those on their rims have; it ends when none changes.
     """
-    flats = durable(labelled.where("label > 0").withColumn("_d", F.when(seeds, 1)))
-    steps = 0
-    while steps < max_rounds:
-        near = neighbourhood(flats, ["_d", "label"])
-        from_ = F.least(*(F.when(neighbour(d)["label"] == F.col("label"), neighbour(d)["_d"]) for d in D8.neighbours()))
-        grown = near.withColumn("_n", F.coalesce("_d", from_ + 1)).withColumn("_new", F.col("_d").isNull() & F.col("_n").isNotNull())
-        flats = durable(grown.select(*labelled.columns, F.col("_n").alias("_d"), "_new"))
-        fresh = flats.where("_new").limit(1).count()
+    flats = durable(labelled.where("label > 0").select("grid_id", "i", "j", "cid", "label", F.when(seeds, 1).otherwise(0).cast("long").alias("_d")))
+    bits = tiled.TILE_BITS
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        order, near = tiled.placed(*(t.column(c).to_numpy().astype(np.int64) for c in ("i", "j")))
+        label, before = (t.column(c).to_numpy()[order] for c in ("label", "_d"))
+        depth = tiled.regrown(before, near, (near >= 0) & (label[near] == label))
+        own = np.flatnonzero(_own(key, t, bits)[order])
+        out = t.select(["grid_id", "i", "j", "cid", "label"]).take(pa.array(order[own]))
+        return out.append_column("_d", pa.array(depth[own])).append_column("_new", pa.array((depth != before)[own]))
+
+    kinds = StructType([*flats.schema.fields, StructField("_new", BooleanType())])
+    for _ in range(max_rounds):
+        work = flats.select("*", _blocks("i", bits, 1).alias("_bi")).select("*", _blocks("j", bits, 1).alias("_bj"))
+        flats = durable(work.groupBy("grid_id", "_bi", "_bj").applyInArrow(run, kinds))
+        settled = flats.where("_new").isEmpty()
         flats = flats.drop("_new")
-        steps += 1
-        if not fresh:
+        if settled:
             break
     else:
-        raise RuntimeError(f"a flat is deeper than {max_rounds} layers")
-    reached = flats.select("grid_id", "cid", F.col("_d").alias(name))
+        raise RuntimeError(f"a flat needs more than {max_rounds} rounds")
+    reached = flats.select("grid_id", "cid", F.col("_d").cast("int").alias(name))
     return labelled.join(reached, ["grid_id", "cid"], "left").withColumn(name, F.coalesce(name, F.lit(0))).select(*labelled.columns, name)
 
 
-def _layers_by_flat(labelled: DataFrame, alone: int = 4096) -> DataFrame:
+def _layers_by_flat(labelled: DataFrame, cells: int, alone: int = 4096, share: int = 65_536) -> DataFrame:
     """Add push_d and pull_d: breadth-first layers from high and low edges.
 
-    A flat of more than ``alone`` cells has a kernel call of its own, smaller ones share one in
-    64s. ``labelled`` has the flats' sizes as ``n``.
+    A flat of more than ``alone`` cells has a kernel call of its own, smaller ones share one of about ``share``
+    of the ``cells``. ``labelled`` has the flats' sizes as ``n``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -90,20 +111,25 @@ def _layers_by_flat(labelled: DataFrame, alone: int = 4096) -> DataFrame:
             slots[k] = np.where((key[at] == to) & (flat[at] == flat), at, -1)
         out = {"grid_id": pdf.grid_id.to_numpy(), "cid": pdf.cid.to_numpy()[order]}
         for name, seed in (("push_d", "high_edge"), ("pull_d", "low_edge")):
-            depth = np.zeros(len(key), np.int64)
-            front, n = np.nonzero(pdf[seed].to_numpy(bool)[order])[0], 0
-            while len(front):
-                n += 1
-                depth[front] = n
-                front = np.unique(slots[:, front])
-                front = front[(front >= 0) & (depth[front] == 0)]
-            out[name] = depth
+            out[name] = tiled.grown(pdf[seed].to_numpy(bool)[order], slots, slots >= 0)
         return pd.DataFrame(out)
 
-    key = F.when(F.col("n") > alone, F.col("label")).otherwise(-F.floor(F.col("label") / 64) - 1)
+    key = F.when(F.col("n") > alone, F.col("label")).otherwise(-F.pmod(F.xxhash64("label"), F.lit(cells // share + 1)) - 1)
     return labelled.groupBy("grid_id", key).applyInPandas(run, "grid_id string, cid long, push_d long, pull_d long")
 
 
+def _depths(flats: DataFrame, kernel_cells: int) -> DataFrame:
+    """(grid_id, cid, push_d, pull_d) of the cells of ``flats``: layers from high and low edges."""
+    sizes = flats.groupBy("grid_id", "label").agg(F.count("*").alias("n"))
+    small = flats.join(sizes.where(F.col("n") <= kernel_cells), ["grid_id", "label"])
+    done = _layers_by_flat(small, flats.count())
+    large = flats.join(sizes.where(F.col("n") > kernel_cells).select("grid_id", "label"), ["grid_id", "label"], "left_semi")
+    if not large.isEmpty():
+        grown = layers(layers(large, F.col("high_edge"), "push_d"), F.col("low_edge"), "pull_d")
+        done = done.unionByName(grown.select("grid_id", "cid", F.col("push_d").cast("long"), F.col("pull_d").cast("long")))
+    return durable(done)
+
+
 def flat_gradients(labelled: DataFrame, kernel_cells: int = 1_000_000) -> DataFrame:
     """Add ``push`` (falling from higher terrain) and ``pull`` (falling to lower terrain) on labelled cells.
 
@@ -112,14 +138,7 @@ def flat_gradients(labelled: DataFrame, kernel_cells: int = 1_000_000) -> DataFr
     ``kernel_cells`` go to a task each; larger ones are grown by rounds over the whole table.
     """
     flats = durable(labelled.where("label > 0").select("grid_id", "i", "j", "cid", "label", "high_edge", "low_edge"))
-    sizes = flats.groupBy("grid_id", "label").agg(F.count("*").alias("n"))
-    small = flats.join(sizes.where(F.col("n") <= kernel_cells), ["grid_id", "label"])
-    done = _layers_by_flat(small)
-    large = flats.join(sizes.where(F.col("n") > kernel_cells).select("grid_id", "label"), ["grid_id", "label"], "left_semi")
-    if not large.isEmpty():
-        grown = layers(layers(large, F.col("high_edge"), "push_d"), F.col("low_edge"), "pull_d")
-        done = done.unionByName(grown.select("grid_id", "cid", F.col("push_d").cast("long"), F.col("pull_d").cast("long")))
-    done = durable(done)
+    done = _depths(flats, kernel_cells)
     out = labelled.join(done, ["grid_id", "cid"], "left")
     any_high = done.groupBy("grid_id").agg(F.max("push_d").alias("_any"))
     out = out.join(F.broadcast(any_high), "grid_id", "left")
@@ -129,14 +148,71 @@ def flat_gradients(labelled: DataFrame, kernel_cells: int = 1_000_000) -> DataFr
     return out.select(*labelled.columns, push.alias("push"), F.coalesce("pull_d", F.lit(0)).alias("pull"))
 
 
+#: What ``tiled_flats`` adds, besides ``push``.
+MADE = {"code": ShortType(), "ds": LongType(), "is_flat": BooleanType(), "low_edge": BooleanType(), "high_edge": BooleanType(), "first": LongType(), "rise": LongType(), "pull": LongType()}
+
+
+def tiled_flats(cells: DataFrame, keep: Sequence[str], scheme: D8Directions = D8, kernel_cells: int = 1_000_000) -> DataFrame:
+    """The columns ``keep`` of the cells, and of code, ds, is_flat, low_edge, high_edge, push, pull and first (the first cell
+    with a low edge or no flow of the cell's flat; null where there is none), as the operators above give them.
+
+    One kernel call per tile gives all that can be seen in it. The cells of components that leave their tile, whose
+    number goes with the tiles' borders and the size of such flats, are joined and grown afterwards. For 3 x 3 windows.
+    """
+    dirs, no_flow = scheme.neighbours(), scheme.no_flow_code  # in order of preference
+    held = list(dict.fromkeys(["grid_id", *(c for c in keep if c != "push"), *(["rise", "high_edge"] if "push" in keep else [])]))
+    bits, halo = tiled.TILE_BITS, tiled.HALO
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        return tiled.flat_tile(t, _own(key, t, bits), dirs, no_flow, held)
+
+    sent = list(dict.fromkeys(["grid_id", "i", "j", "cid", "valid", *(c for c in held if c not in MADE)]))
+    work = cells.select(*sent, F.col("z").cast("float").alias("_z"), _blocks("i", bits, halo).alias("_bi")).select("*", _blocks("j", bits, halo).alias("_bj"))
+    edge = StructType([StructField(n, k) for n, k in (("cid", LongType()), ("root", LongType()), ("seed", BooleanType()), ("low_edge", BooleanType()), ("high_edge", BooleanType()), ("away", ArrayType(LongType())))])
+    kinds = StructType([StructField(c, MADE.get(c) or cells.schema[c].dataType) for c in held] + [StructField("open", edge)])
+    part = durable(work.groupBy("grid_id", "_bi", "_bj").applyInArrow(run, kinds))
+
+    later = [c for c in ("first", "rise", "pull") if c in held]
+    opened = part.where("open is not null")
+    out = part.where("open is null").drop("open")
+    if later and not opened.isEmpty():
+        whole = durable(_across(opened.select("grid_id", "open.*"), kernel_cells)).select("grid_id", F.col("cid").alias("_c"), *later)
+        found = opened.drop(*later).withColumn("_c", F.col("open.cid")).join(whole, ["grid_id", "_c"])
+        out = out.unionByName(found.select(*held))
+    if "push" in keep:
+        high = part.where("high_edge").select("grid_id", F.lit(True).alias("_high")).distinct()
+        out = out.join(F.broadcast(high), "grid_id", "left").withColumn("push", F.when(F.col("_high"), F.col("rise")).otherwise(0))
+    return out.select(*keep)
+
+
+def _across(cells: DataFrame, kernel_cells: int) -> DataFrame:
+    """(grid_id, cid, first, rise, pull) of the cells of components that leave their tile."""
+    away = cells.where(F.size("away") > 0).select("grid_id", "root", F.explode("away").alias("t"))
+    roots = joined_roots(away.join(cells.select("grid_id", F.col("cid").alias("t"), F.col("root").alias("far")), ["grid_id", "t"]))
+    label, i = F.col("comp") + 1, F.col("cid").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    flats = durable(cells.join(roots, ["grid_id", "root"]).select("grid_id", i.alias("i"), F.shiftright("cid", 31).cast("int").alias("j"), "cid", label.alias("label"), "seed", "high_edge", "low_edge"))
+    done = flats.join(_depths(flats.drop("seed"), kernel_cells), ["grid_id", "cid"])
+    whole = done.groupBy("grid_id", "label").agg(F.min(F.when(F.col("seed"), F.col("cid"))).alias("first"), F.max("push_d").alias("_top"))
+    rise = F.when(F.col("first").isNotNull(), F.col("_top") - F.col("push_d") + 1).otherwise(0)
+    return done.join(whole, ["grid_id", "label"]).select("grid_id", "cid", "first", rise.alias("rise"), F.col("pull_d").alias("pull"))
+
+
+def numbered(flats: DataFrame) -> DataFrame:
+    """Put ``label``, as ``flat_labels`` gives it, in the place of ``first``."""
+    ranks = ranked(flats.where("first = cid").select("grid_id", "first"), ["grid_id"], ["first"], "label")
+    return flats.join(ranks, ["grid_id", "first"], "left").select(*(c for c in flats.columns if c != "first"), F.coalesce("label", F.lit(0)).alias("label"))
+
+
 def complete_d8(cells: DataFrame, step_size: int = 4, scheme: D8Directions = D8) -> DataFrame:
     """Simple D8 with flats resolved: adds code, ds, is_flat, label, z_syn.
 
     z_syn = push + step_size * pull; a no-flow cell goes to the neighbour of its flat with the
     strictly lowest z_syn.
     """
-    flow = durable(simple_d8(cells, scheme))
-    synthetic = flat_gradients(durable(flat_labels(durable(flat_edges(flow)))))
+    if scheme.window == 3:
+        synthetic = numbered(tiled_flats(cells, [*cells.columns, "code", "ds", "is_flat", "push", "pull", "first"], scheme))
+    else:
+        synthetic = flat_gradients(durable(flat_labels(durable(flat_edges(durable(simple_d8(cells, scheme)))))))
     work = durable(synthetic.withColumn("z_syn", F.col("push") + step_size * F.col("pull")))
     merged = with_lowest(work, "z_syn", F.col("valid") & (F.col("label") > 0), scheme, "label")
     use = F.col("valid") & F.col("ds").isNull() & F.col("_b.cid").isNotNull()
@@ -316,4 +392,4 @@ def flowdir(cells: DataFrame, fill_depression: bool = False, resolve_flat: bool
     return complete_d8(work, step_size, scheme) if resolve_flat else simple_d8(work, scheme).withColumn("label", F.lit(None).cast("int")).withColumn("z_syn", F.lit(None).cast("long"))
 
 
-__all__ = ["acyclic", "complete_d8", "fill_depressions", "fill_small_depressions", "flat_edges", "flat_gradients", "flat_labels", "flow_from_codes", "flowdir", "indegree", "layers", "simple_d8", "synthetic_d8"]
+__all__ = ["acyclic", "complete_d8", "fill_depressions", "fill_small_depressions", "flat_edges", "flat_gradients", "flat_labels", "flow_from_codes", "flowdir", "indegree", "layers", "numbered", "simple_d8", "synthetic_d8", "tiled_flats"]

@@ -216,13 +216,9 @@ _LABELS = """p AS (SELECT i, j, CAST(j AS BIGINT) * 2147483648 + i AS cid, z FRO
     l AS (SELECT p.i, p.j, p.cid, COALESCE(k.label, 0) AS label FROM p JOIN m USING (cid) LEFT JOIN (SELECT comp, ROW_NUMBER() OVER (ORDER BY first) AS label FROM s) AS k USING (comp))"""
 
 
-def labelled_flats(spark, sf_dir):
-    return durable(flow.flat_labels(durable(flow.flat_edges(flow_table(spark, sf_dir, FLAT_SCALE)))))
-
-
 @query(f"WITH RECURSIVE {_COARSE}, {_LABELS} SELECT i, j, CAST(label AS INTEGER) AS label FROM l")
 def flat_labels(spark, sf_dir):
-    return labelled_flats(spark, sf_dir).select("i", "j", "label")
+    return flow.numbered(flow.tiled_flats(raster(spark, sf_dir, FLAT_SCALE), ["grid_id", "i", "j", "cid", "first"])).select("i", "j", "label")
 
 
 def _layers(name: str, seeds: str) -> str:
@@ -240,12 +236,12 @@ _GRADS = f"""z1 AS (SELECT l.i, l.j, l.label, CAST({_PUSH} AS BIGINT) AS push, C
 
 @query(f"{_FLATS}, {_GRADS} SELECT i, j, pull FROM z1")
 def flat_pull(spark, sf_dir):
-    return flow.flat_gradients(labelled_flats(spark, sf_dir)).select("i", "j", F.col("pull").cast("long").alias("pull"))
+    return flow.tiled_flats(raster(spark, sf_dir, FLAT_SCALE), ["i", "j", "pull"])
 
 
 @query(f"{_FLATS}, {_GRADS} SELECT i, j, push FROM z1")
 def flat_push(spark, sf_dir):
-    return flow.flat_gradients(labelled_flats(spark, sf_dir)).select("i", "j", F.col("push").cast("long").alias("push"))
+    return flow.tiled_flats(raster(spark, sf_dir, FLAT_SCALE), ["i", "j", "push"])
 
 
 @query(f"""{_FLATS}, {_GRADS}, v AS (SELECT a.i, a.j, d.code, ROW_NUMBER() OVER (PARTITION BY a.i, a.j ORDER BY b.push + 4 * b.pull, d.ord) AS k

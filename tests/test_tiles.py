@@ -273,3 +273,63 @@ def test_flood_looks_up_directions_once(monkeypatch):
     rim = [(i, j) for i in range(3) for j in range(4) if (i, j) not in ((1, 1), (1, 2))]
     filled, label, spill = flow._flood(z, np.ones(z.shape, bool), rim)
     assert (filled == 3).all() and (label >= 0).all() and set(spill.values()) == {3.0} and len(calls) == 1
+
+
+def odd_cells(spark, seed, shape=(13, 11)):
+    """Two grids of few levels with a mask, both zeros, and valid cells of NaN and null elevation."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in ("a", "b"):
+        for i, j in np.ndindex(shape):
+            z = [0.0, -0.0, 1.0, 2.0, 1 + 1e-12, float("nan"), None][rng.choice(7, p=[0.2, 0.2, 0.25, 0.15, 0.1, 0.06, 0.04])]
+            rows.append((g, i, j, z, bool(rng.random() < 0.9)))
+    return grid.with_ids(spark.createDataFrame(rows, "grid_id string, i int, j int, z double, valid boolean")).withColumn("note", F.concat("grid_id", F.col("i").cast("string")))
+
+
+@pytest.mark.parametrize("bits, alone, kernel_cells", [(8, 10**6, 10**6), (2, 10**6, 10**6), (1, 0, 10**6), (1, 10**6, 4)], ids=["one-tile", "tiles", "rounds", "large-flats"])
+def test_flats_across_tiles(spark, monkeypatch, bits, alone, kernel_cells):
+    monkeypatch.setattr(flow.tiled, "TILE_BITS", bits)
+    monkeypatch.setattr(iterate, "ALONE", alone)
+    made = ["code", "ds", "is_flat", "low_edge", "high_edge", "push", "pull"]
+    cells = iterate.durable(odd_cells(spark, bits))
+    steps = flow.flat_gradients(iterate.durable(flow.flat_labels(iterate.durable(flow.flat_edges(iterate.durable(flow.simple_d8(cells)))))))
+    want = steps.select("note", "grid_id", "cid", *made, "label").collect()
+    got = flow.numbered(flow.tiled_flats(cells, ["note", "grid_id", "cid", *made, "first"], kernel_cells=kernel_cells)).select(want[0].__fields__).collect()
+    assert max(r.pull for r in want) > 2 and max(r.push for r in want) > 2 and max(r.label for r in want) > 2
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_flats_look_past_missing_cells(spark):
+    line = spark.createDataFrame([("g", k, k, z, True) for k, z in enumerate((1.0, 1.0, 0.0))], "grid_id string, i int, j int, z double, valid boolean")
+    got = flow.tiled_flats(grid.with_ids(line), ["i", "code", "pull"])
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 2), (1, 2, 1), (2, 0, 0)]
+
+
+def test_large_flats_grow_as_small_ones(spark, monkeypatch):
+    z = np.random.default_rng(6).choice([1.0, 2.0], (12, 12), p=[0.6, 0.4])
+    near = iterate.durable(flow.flat_labels(iterate.durable(flow.flat_edges(iterate.durable(flow.simple_d8(grid.cells_from_array(spark, z.tolist())))))))
+    low = near.withColumn("low_edge", F.col("cid") % 9 == 0)
+    got = [arr(flow.flat_gradients(low, kernel_cells=n), c, (12, 12)).tolist() for c in ("push", "pull") for n in (10**6, 0)]
+    assert max(map(max, got[2])) > 2 and got[0] == got[1] and got[2] == got[3]
+
+
+def test_push_is_nothing_without_high_edges(spark):
+    level = flow.tiled_flats(grid.cells_from_array(spark, [[1.0] * 4] * 3), ["i", "j", "push", "pull"])
+    assert {(r.push, r.pull) for r in level.collect()} == {(0, 0)}
+
+
+def test_complete_directions_take_few_jobs(spark):
+    z = np.random.default_rng(4).integers(0, 3, (40, 40)).astype(float).tolist()
+    cells = iterate.durable(grid.cells_from_array(spark, z))
+    _, n_jobs = jobs(spark, lambda: flow.complete_d8(cells).agg(F.sum("z_syn")).first())
+    assert n_jobs <= 25  # one stencil, edge or component step after another took more
+
+
+def test_small_flats_share_kernel_calls(spark):
+    """Their number goes with the cells, not with the labels: 64 labels apart shared a call."""
+    n = 3000
+    t = grid.cells_from_array(spark, [[1.0] for _ in range(n)]).withColumn("label", (F.col("i") * 64 + 1).cast("int")).withColumn("n", F.lit(1)).withColumn("high_edge", F.lit(True)).withColumn("low_edge", F.lit(False))
+    got = flow._layers_by_flat(t, n).cache()
+    assert got.where("push_d = 1 and pull_d = 0").count() == n
+    keys = [x for x in plan_of(flow._layers_by_flat(t, n)).splitlines() if "xxhash64" in x]
+    assert keys and "pmod" in keys[0]
